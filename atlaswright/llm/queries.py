@@ -10,6 +10,7 @@ from atlaswright.llm.mixing import mix_sources
 from atlaswright.llm.packing import container_report, pack_documents
 from atlaswright.llm.rank_fusion import candidate_ranking
 from atlaswright.llm.set_join import classes, expand, feature_rows, similar_sets
+from atlaswright.llm.shared_spans import shared_lengths
 from atlaswright.llm.top_n import kept_neighbors
 from atlaswright.plans.core_queries import _reading, table
 
@@ -92,8 +93,21 @@ def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).drawn
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters of each document stand elsewhere, too."""
+    return shared_lengths(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and shared part of every document."""
+    docs = table(spark, sf_dir, "documents")
+    sizes = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    both = sizes.join(shared_lengths(docs), "doc_id", "left").withColumn("shared_chars", F.coalesce("shared_chars", F.lit(0)))
+    return both.withColumn("shared_part", F.when(F.col("chars") > 0, F.round(F.col("shared_chars") / F.col("chars"), 6)).otherwise(0.0))
+
+
 def queries() -> dict:
-    fs = (p1_found, p1_classes, p2_found, p2_ranking, p3_found, p3_weights, p6_found, p6_ranked, p8_found, p8_containers, p8_report, p9_found, p9_report, p9_drawn)
+    fs = (p1_found, p1_classes, p2_found, p2_ranking, p3_found, p3_weights, p6_found, p6_ranked, p8_found, p8_containers, p8_report, p9_found, p9_report, p9_drawn, p10_found, p10_shares)
     return {f.__name__: f for f in fs}
 
 
