@@ -153,7 +153,8 @@ def window_rows(texts: list[str], width: int) -> tuple:
 
     ``key`` is the fingerprint of the symbol's ground, ``whole`` that of all characters of the row's windows.
     """
-    parts, bounds, at = [], [], 0
+    # gaps before, between and after the texts, so that every symbol has neighbours
+    parts, bounds, at = [np.zeros(1, np.uint64)], [], 1
     for t in texts:
         c = _codes(t)
         parts += [c, np.zeros(1, np.uint64)]
@@ -162,6 +163,7 @@ def window_rows(texts: list[str], width: int) -> tuple:
     chars = np.concatenate(parts)
     bounds = np.array(bounds, np.int64)
     gaps = np.zeros(len(chars), bool)
+    gaps[0] = True
     gaps[bounds[:, 1]] = True
     long = np.flatnonzero(bounds[:, 1] - bounds[:, 0] >= width)
     a, b = bounds[long, 0], bounds[long, 1] - width + 1
