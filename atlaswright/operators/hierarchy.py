@@ -35,7 +35,7 @@ def _contract(live: DataFrame, live_at: str, k: int, paths: bool) -> tuple[DataF
     ups = left.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("up"), F.first("parent").alias("above"), F.first("steps").alias("up_steps"), F.first("via").alias("up_via"))
     downs = left.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("down"), F.first("child").alias("below"))
     unary = ups.where("up = 1").join(downs.where("down = 1"), "node").where("above <> node and below <> node and above <> below")
-    unary, _ = cut(unary.withColumn("rank", F.xxhash64("node", F.lit(k))), "unary")
+    unary = unary.withColumn("rank", F.xxhash64("node", F.lit(k)))
     ranks = unary.select("node", "rank")
     chosen = (
         unary.join(ranks.select(F.col("node").alias("above"), F.col("rank").alias("ra")), "above", "left")
@@ -105,11 +105,11 @@ def hierarchies(nodes: DataFrame, links: DataFrame, paths: bool = False) -> Data
     every, _ = cut(nodes.select("node").where("node is not null").unionByName(ends).distinct(), "nodes")
     # a link says how many steps it stands for and, for paths, which nodes it bypasses
     live, live_at = cut(links.withColumns({"steps": F.lit(1).cast("long"), "via": F.lit(None).cast(VIA)}), "links")
-    steps: list[DataFrame] = []
+    rounds: list[tuple[DataFrame, DataFrame]] = []
     n, k = live.count(), 0
     while n:
         raked, bypassed, live, live_at = _contract(live, live_at, k, paths)
-        steps += [raked, bypassed]
+        rounds.append((raked, bypassed))
         before, n, k = n, live.count(), k + 1
         if n == before:
             break
@@ -126,12 +126,12 @@ def hierarchies(nodes: DataFrame, links: DataFrame, paths: bool = False) -> Data
         n = live.count()
 
     looped = live.select(F.explode(F.array("parent", "child")).alias("node")).distinct()
-    placed = _union([looped, *[r.select(F.col("child").alias("node")) for r in [*steps, *peeled]]]).distinct()
+    placed = _union([looped, *[r.select(F.col("child").alias("node")) for r in [*(x for both in rounds for x in both), *peeled]]]).distinct()
     root = every.join(placed, "node", "left_anti")
     nothing = F.lit(None).cast(VIA)
     start = root.select("node", F.col("node").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("node") if paths else nothing).alias("path"))
     start = start.unionByName(looped.select("node", F.lit("").alias("root"), F.lit(-1).cast("long").alias("depth"), nothing.alias("path")))
-    parts = [cut(start, "state")[0]]
+    known, known_at = cut(start, "state")
     if peeled:
         # a peeled node is known once all its parents are; the rest of its links ends in the core
         owed = _union(peeled).join(looped.withColumnRenamed("node", "child"), "child", "left_anti")
@@ -139,13 +139,20 @@ def hierarchies(nodes: DataFrame, links: DataFrame, paths: bool = False) -> Data
             last = peeled[j].select("child").distinct()
             for later in peeled[j + 1 :]:
                 last = last.join(later.select("child").distinct(), "child", "left_anti")
-            parts.append(cut(_settle(owed.join(last, "child", "left_semi"), _union(parts), paths), "state")[0])
-    for removed in reversed(steps):
-        parts.append(cut(_settle(removed, _union(parts), paths), "state")[0])
-    known = _union(parts)
+            known, known_at = _grown(known, known_at, [_settle(owed.join(last, "child", "left_semi"), known, paths)])
+    for raked, bypassed in reversed(rounds):
+        passed = _settle(bypassed, known, paths)
+        known, known_at = _grown(known, known_at, [passed, _settle(raked, known.unionByName(passed), paths)])
     return known if paths else known.drop("path")
 
 
+def _grown(known: DataFrame, at: str, new: list[DataFrame]) -> tuple[DataFrame, str]:
+    """One table of all states so far. The tables grow geometrically, so writing each anew costs little more than the last."""
+    table, path = cut(_union([known, *new]), "state")
+    forget(known.sparkSession, at)
+    return table, path
+
+
 def category_hierarchy(subcategories: DataFrame, paths: bool = False) -> DataFrame:
     """``category, tree_root, tree_depth`` (and ``path``) of every category named in the replies."""
     nodes, links = category_links(subcategories)
