@@ -22,30 +22,31 @@ def category_links(subcategories: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 VIA = "array<string>"
+MERGE = "merge"  # so many small joins would leave as many broadcast tables in the driver
 
 
 def _contract(live: DataFrame, live_at: str, k: int, paths: bool) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     """One round: (raked links, links of bypassed nodes, what is left, its path)."""
     spark = live.sparkSession
     inner = live.select(F.col("parent").alias("child")).distinct().withColumn("keep", F.lit(True))
-    marked, _ = cut(live.join(inner, "child", "left"), "rake")
+    marked, _ = cut(live.join(inner.hint(MERGE), "child", "left"), "rake")
     forget(spark, live_at)
     raked, left = marked.where("keep is null").drop("keep"), marked.where("keep").drop("keep")
     # unary nodes; of neighbouring ones that with the larger number of this round goes
     ups = left.groupBy(F.col("child").alias("node")).agg(F.count(F.lit(1)).alias("up"), F.first("parent").alias("above"), F.first("steps").alias("up_steps"), F.first("via").alias("up_via"))
     downs = left.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("down"), F.first("child").alias("below"))
-    unary = ups.where("up = 1").join(downs.where("down = 1"), "node").where("above <> node and below <> node and above <> below")
+    unary = ups.where("up = 1").join(downs.where("down = 1").hint(MERGE), "node").where("above <> node and below <> node and above <> below")
     unary = unary.withColumn("rank", F.xxhash64("node", F.lit(k)))
     ranks = unary.select("node", "rank")
     chosen = (
-        unary.join(ranks.select(F.col("node").alias("above"), F.col("rank").alias("ra")), "above", "left")
-        .join(ranks.select(F.col("node").alias("below"), F.col("rank").alias("rb")), "below", "left")
+        unary.join(ranks.select(F.col("node").alias("above"), F.col("rank").alias("ra")).hint(MERGE), "above", "left")
+        .join(ranks.select(F.col("node").alias("below"), F.col("rank").alias("rb")).hint(MERGE), "below", "left")
         .where("(ra is null or rank > ra) and (rb is null or rank > rb)")
     )
     chosen, _ = cut(chosen.select("node", "above", "up_steps", "up_via", "below"), "chain")
     bridge = chosen.select(F.col("node").alias("parent"), F.col("below").alias("child"), "above", "up_steps", "up_via")
     gone = chosen.select(F.col("node").alias("child"), F.lit(True).alias("gone"))
-    joined = left.join(bridge, ["parent", "child"], "left").join(gone, "child", "left").where("gone is null")
+    joined = left.join(bridge.hint(MERGE), ["parent", "child"], "left").join(gone.hint(MERGE), "child", "left").where("gone is null")
     none = F.array().cast(VIA)
     over = F.concat(F.coalesce("up_via", none), F.array("parent"), F.coalesce("via", none)) if paths else F.lit(None).cast(VIA)
     nxt = joined.select(
@@ -61,7 +62,7 @@ def _contract(live: DataFrame, live_at: str, k: int, paths: bool) -> tuple[DataF
 
 def _settle(removed: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     """States of removed nodes from those of their recorded parents."""
-    got = removed.join(known.select(F.col("node").alias("parent"), "root", "depth", "path"), "parent")
+    got = removed.join(known.select(F.col("node").alias("parent"), "root", "depth", "path").hint(MERGE), "parent")
     way = F.lit(None).cast(VIA)
     if paths:
         way = F.when(F.col("path").isNotNull(), F.concat("path", F.coalesce("via", F.array().cast(VIA)), F.array("child")))
