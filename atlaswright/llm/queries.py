@@ -79,8 +79,9 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report.where("not reachable").select("source")
+    """Sources that cannot reach their share: the draw, repeated as often as allowed, falls short of it."""
+    report = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report
+    return report.where("not reachable and drawn_tokens < target_tokens").select("source")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,8 +145,37 @@ ranked AS (SELECT title, neighbor, score, row_number() OVER (PARTITION BY title
 """
 
 
+_FUSED = """
+base AS (
+  SELECT DISTINCT title, neighbor, CASE WHEN isnan(tf_idf) THEN NULL ELSE tf_idf END AS x0, CASE WHEN isnan(named_locations) THEN NULL ELSE named_locations END AS x1,
+    CASE WHEN isnan(categories) THEN NULL ELSE categories END AS x2 FROM neighbor_scores WHERE title IS NOT NULL AND neighbor IS NOT NULL AND title <> neighbor),
+long AS (SELECT title, unnest([0, 1, 2]) AS k, unnest([x0, x1, x2]) AS v FROM base),
+med AS (SELECT title, k, median(v) AS m FROM long WHERE v IS NOT NULL GROUP BY title, k),
+dev AS (SELECT l.title, l.k, any_value(m) AS m, median(abs(v - m)) AS mad, avg(abs(v - m)) AS mean FROM long l JOIN med ON med.title = l.title AND med.k = l.k WHERE v IS NOT NULL GROUP BY l.title, l.k),
+scale AS (SELECT title, k, m, CASE WHEN mad > 0 THEN mad * 1.4826 WHEN mean > 0 THEN mean * 1.2533 END AS s FROM dev),
+wide AS (SELECT title, max(m) FILTER (k = 0) AS m0, max(m) FILTER (k = 1) AS m1, max(m) FILTER (k = 2) AS m2, max(s) FILTER (k = 0) AS s0, max(s) FILTER (k = 1) AS s1, max(s) FILTER (k = 2) AS s2 FROM scale GROUP BY title),
+z AS (SELECT b.title, neighbor, """ + ", ".join(f"x{k} IS NULL AS n{k}, least(600, greatest(-600, coalesce((x{k} - m{k}) / nullif(s{k}, 0), 0))) AS z{k}" for k in range(3)) + """
+  FROM base b LEFT JOIN wide w ON w.title = b.title),
+f AS (SELECT title, neighbor, (""" + " + ".join(f"CASE WHEN n{k} THEN -700 WHEN z{k} > -30 THEN -ln(1 + exp(-z{k})) ELSE z{k} END" for k in range(3)) + """) / 3 AS fused,
+  (""" + " + ".join(f"CASE WHEN n{k} THEN -700 ELSE z{k} END" for k in range(3)) + """) / 3 AS plain FROM z),
+one AS (SELECT title, neighbor, max(fused) AS fused, max_by(plain, fused) AS plain FROM f GROUP BY title, neighbor)
+"""
+
+_WINDOWS = """
+w AS (SELECT doc_id, i, substr(text, CAST(i + 1 AS INT), 150) AS s FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+twice AS (SELECT s FROM w GROUP BY s HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN twice ON twice.s = w.s)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_classes": f"""WITH {_SETS},
+            sets AS (SELECT feature, title, list(v ORDER BY v) AS s FROM held WHERE n >= 3 GROUP BY feature, title),
+            linked AS (SELECT feature, t, count(*) AS c FROM (SELECT feature, title_a AS t FROM pairs UNION ALL SELECT feature, title_b FROM pairs) GROUP BY feature, t)
+            SELECT s.feature, title, min(title) OVER (PARTITION BY s.feature, s) AS set_class, coalesce(c, 0) AS links FROM sets s LEFT JOIN linked l ON l.feature = s.feature AND l.t = title""",
+        "p2_found": f"WITH {_FUSED} SELECT title, neighbor FROM one QUALIFY row_number() OVER (PARTITION BY title ORDER BY round(fused, 12) DESC, plain DESC, neighbor) = 1",
+        "p10_found": f"WITH {_WINDOWS} SELECT doc_id, CAST(sum(least(150, coalesce(i - p, 150))) AS BIGINT) AS shared_chars FROM hit GROUP BY doc_id",
         "p1_found": f"WITH {_SETS} SELECT feature, title_a, title_b FROM pairs",
         "p3_found": f"WITH {_WORDS} SELECT title, word FROM weights QUALIFY row_number() OVER (PARTITION BY title ORDER BY round(weight, 9) DESC, word) = 1",
         "p3_weights": f"WITH {_WORDS} SELECT title, word, tf, df, round(weight, 6) AS weight FROM weights",
