@@ -98,6 +98,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p4_found": f"WITH {_VIEWS} SELECT title, '2019-' || lpad(CAST(m AS VARCHAR), 2, '0') AS year_month FROM grid WHERE (title, m) NOT IN (SELECT (title, m) FROM seen)",
         "p5_found": f"WITH RECURSIVE {_TREE} SELECT category, tree_root, CAST(tree_depth AS BIGINT) AS tree_depth FROM tree",
+        "p5_paths": f"""WITH RECURSIVE {_TREE}, above AS (
+              SELECT up.node, string_agg(up.anc, '/' ORDER BY a.tree_depth) AS way FROM up JOIN tree a ON a.category = up.anc JOIN tree t ON t.category = up.node WHERE t.tree_depth > 0 GROUP BY up.node)
+            SELECT category, tree_root, CAST(tree_depth AS BIGINT) AS tree_depth, CASE WHEN tree_depth > 0 THEN way || '/' || category WHEN tree_depth = 0 THEN category END AS path
+            FROM tree LEFT JOIN above ON above.node = category""",
         "p5_descendants": f"WITH RECURSIVE {_TREE} SELECT up.anc AS category, up.node AS descendant, CAST(t.tree_depth - a.tree_depth AS BIGINT) AS steps"
         " FROM up JOIN tree t ON t.category = up.node JOIN tree a ON a.category = up.anc WHERE t.tree_depth >= 0",
         "p7_found": f"""WITH {_POSITIONS},
