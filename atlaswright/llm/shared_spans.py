@@ -8,12 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from atlaswright.session import cut
+from atlaswright.session import cut, forget
 
 ROUNDS = 10
 RUNS_AT = (0, 3)  # rounds that name runs before pairs
 KEPT = (0, 4, 7)  # levels kept for windows that no higher symbol is certain in
-PIECE = 400_000  # characters worked on at once
+PIECE = 100_000  # characters worked on at once
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD1342543DE82EF95
 
@@ -25,26 +25,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """64-bit fingerprints of all spans of one string: sums of mixed characters times powers of a base."""
+    """64-bit fingerprints of all spans of one string: sums of hashed characters times powers of a base."""
 
     _power = _inverse = np.ones(1, np.uint64)
 
-    def __init__(self, chars: np.ndarray):
-        n = len(chars)
+    def __init__(self, hashed: np.ndarray):
+        n = len(hashed)
         if n + 1 > len(Prints._power):
             size = max(n + 1, PIECE + 1000)
             for attr, base in (("_power", _BASE), ("_inverse", pow(_BASE, -1, 1 << 64))):
                 setattr(Prints, attr, np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, base, np.uint64))]))
         self._sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(_mix(chars + _A) * Prints._power[:n], out=self._sum[1:])
+        np.cumsum(hashed * Prints._power[:n], out=self._sum[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         x = (self._sum[end] - self._sum[start]) * Prints._inverse[start]
         return _mix(x + (end - start).astype(np.uint64) * _A)
 
 
-def recompress(chars: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels of symbols, the kept lower ones first: (names, left, right), in text order.
+def recompress(hashed: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels of symbols over hashed characters, the kept lower ones first: (names, left, right), in text order.
 
     Every round names maximal runs of a symbol (in some rounds) and then pairs: by a bit of its name each
     symbol is a first or a second one, and a first before a second becomes a pair. A name is a hash of
@@ -55,8 +55,8 @@ def recompress(chars: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, np
     neighbours'. Where a span occurs again, every symbol whose ground it holds occurs in it again. ``gaps`` mark
     places between texts, which belong to no ground of a usable symbol.
     """
-    name = _mix(chars * _A + _C)
-    left = np.arange(len(chars), dtype=np.int32)
+    name = hashed
+    left = np.arange(len(hashed), dtype=np.int32)
     right = left + np.int32(1)
     gap = gaps
     levels = []
@@ -80,15 +80,12 @@ def recompress(chars: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, np
         pair = np.zeros(len(name), bool)
         np.logical_and(first[:-1], second[1:], out=pair[:-1])
         keep = np.ones(len(name), bool)
-        keep[1:] = ~pair[:-1]
-        wide_left, wide_right, named = left.copy(), right.copy(), name.copy()
-        i = np.flatnonzero(second[1:]) + 1
-        wide_left[i] = left[i - 1]
-        i = np.flatnonzero(first[:-1])
-        wide_right[i] = right[i + 1]
-        i = np.flatnonzero(pair)
-        named[i] = _mix(name[i] * _A + _mix(name[i + 1] + _B))
-        name, left, right, gap = named[keep], wide_left[keep], wide_right[keep], gap[keep]
+        np.logical_not(pair[:-1], out=keep[1:])
+        at = np.flatnonzero(keep)
+        new, both = name[at], np.flatnonzero(pair[at])
+        new[both] = _mix(new[both] * _A + _mix(name[at[both] + 1] + _B))
+        left, right, gap = left[at - second[at]], right[at + first[at]], gap[at]
+        name = new
     levels.append((name, left, right))
     return levels
 
@@ -160,16 +157,16 @@ def window_rows(texts: list[str], width: int) -> tuple:
         parts += [c, np.zeros(1, np.uint64)]
         bounds.append((at, at + len(c)))
         at += len(c) + 1
-    chars = np.concatenate(parts)
+    hashed = _mix(np.concatenate(parts) * _A + _C)
     bounds = np.array(bounds, np.int64)
-    gaps = np.zeros(len(chars), bool)
+    gaps = np.zeros(len(hashed), bool)
     gaps[0] = True
     gaps[bounds[:, 1]] = True
     long = np.flatnonzero(bounds[:, 1] - bounds[:, 0] >= width)
     a, b = bounds[long, 0], bounds[long, 1] - width + 1
-    prints = Prints(chars)
+    prints = Prints(hashed)
     out = []
-    levels = recompress(chars, gaps)
+    levels = recompress(hashed, gaps)
     for depth in range(len(levels) - 1, -1, -1):
         if not len(a):
             break
@@ -264,10 +261,11 @@ def shared_spans(docs: DataFrame, width: int = 150) -> DataFrame:
     Null texts, null ids and texts shorter than ``width`` give no row. Characters are code points. Ids must be unique.
     """
     texts = docs.where("doc_id is not null").where(F.length("text") >= width).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows, _ = cut(_symbol_rows(texts, width), "rows")
+    rows, rows_at = cut(_symbol_rows(texts, width), "rows")
     two = F.min("doc_id") != F.max("doc_id")
     keys, _ = cut(rows.groupBy("key").agg(two.alias("two")).where("two").select("key"), "keys")
     found, _ = cut(rows.join(keys, "key", "left_semi"), "found")
+    forget(docs.sparkSession, rows_at)
     variants = found.groupBy("key", "whole").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n").alias("n"), F.min(F.struct("doc_id", "first")).alias("at"))
     variants, _ = cut(variants, "variants")
     several = variants.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
