@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.geo import haversine_km
+from atlaswright.operators.skew import salted_join
 
 
 def _members(categories: DataFrame, positions: DataFrame) -> DataFrame:
@@ -44,14 +45,13 @@ def leave_one_out_means(categories: DataFrame, positions: DataFrame) -> DataFram
 def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame) -> DataFrame:
     """``category, title, dispersion``: mean distance of the other located articles to their mean.
 
-    Distances do not decompose, so every article meets every other one of its category; the join key is salted
-    on the side of the others, and each article's partial sums are added up.
+    Distances do not decompose, so every article meets every other one of its category, salted for large categories; pairs
+    go straight into partial averages. The work is quadratic in a category's located articles, as the result asks.
     """
     each = _members(categories, positions).where("lat is not null and lon is not null").distinct()
-    salts = 16
-    others = each.select("category", F.col("title").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x")).withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(salts)))
-    means = leave_one_out_means(categories, positions).where("others > 0").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = means.join(others, ["category", "salt"]).where("title <> other")
+    others = each.select("category", F.col("title").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    means = leave_one_out_means(categories, positions).where("others > 0")
+    met = salted_join(means, others, ["category"], "title", 2000).where("title <> other")
     return met.groupBy("category", "title").agg(F.avg(haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))).alias("dispersion"))
 
 
@@ -78,11 +78,9 @@ def requester_view(requests: DataFrame, categories: DataFrame, positions: DataFr
 def within_diameter(groups: DataFrame, most_km: float) -> DataFrame:
     """``key, diameter``: groups (key, name, lat, lon) whose points all lie within ``most_km`` of each other.
 
-    A group's points are compared pairwise, so groups should be small (the entities of a page); larger ones are spread by salt.
+    A group's points are compared pairwise, salted for large groups (the entities of a page are few).
     """
     p = groups.where("key is not null and lat is not null and lon is not null").select("key", "name", "lat", "lon").distinct()
-    salts = 8
-    left = p.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    right = p.select("key", F.col("name").alias("name_b"), F.col("lat").alias("y"), F.col("lon").alias("x"), F.pmod(F.xxhash64("name"), F.lit(salts)).alias("salt"))
-    far = left.join(right, ["key", "salt"]).where("name <= name_b").groupBy("key").agg(F.max(haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("diameter"))
+    q = p.select("key", F.col("name").alias("name_b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    far = salted_join(p, q, ["key"], "name", 2000).where("name <= name_b").groupBy("key").agg(F.max(haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))).alias("diameter"))
     return far.where(F.col("diameter") <= most_km)

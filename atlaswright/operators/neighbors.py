@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlaswright.config import DEFAULTS, Settings, Weights
+from atlaswright.operators.skew import salted_join
 
 
 def postings(words: DataFrame, locations: DataFrame, categories: DataFrame, located: DataFrame) -> DataFrame:
@@ -20,24 +21,30 @@ def postings(words: DataFrame, locations: DataFrame, categories: DataFrame, loca
     return rows.join(known, "title", "left").withColumn("has_coords", F.coalesce("has_coords", F.lit(False)))
 
 
-def posting_lists(rows: DataFrame) -> DataFrame:
-    """``feature, term, list``: title and fixed-point score (millionths, truncated) of each term, by title. For export only."""
+def posting_lists(rows: DataFrame, most: int = 4096) -> DataFrame:
+    """``feature, term, segment, list``: title and fixed-point score (millionths, truncated) of each term, by title. For export.
+
+    A list of more than ``most`` titles comes in segments of about that length, by a hash of the title, so no row grows with the corpus.
+    """
     point = F.struct("title", (F.col("score") * 1_000_000).cast("int").alias("score"))
-    return rows.groupBy("feature", "term").agg(F.sort_array(F.collect_list(point)).alias("list"))
+    long = rows.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("feature", "term", F.ceil(F.col("c") / most).alias("n"))
+    segment = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("title"), F.col("n"))).otherwise(F.lit(0)).cast("int")
+    cut = rows.join(long, ["feature", "term"], "left").withColumn("segment", segment)
+    return cut.groupBy("feature", "term", "segment").agg(F.sort_array(F.collect_list(point)).alias("list"))
 
 
 def common_terms(queries: DataFrame, index: DataFrame, max_postings: int | None = None) -> DataFrame:
     """``title, neighbor, feature, n, dot``: terms in common and dot product of every query title and index title sharing a term.
 
     One self-join gives counts and dot products, both being sums over the same terms. A term with most of the postings makes
-    a large join partition, which adaptive execution splits. ``max_postings`` leaves out
-    terms with longer lists; that changes results and is off by default.
+    a large join partition, which is salted. ``max_postings`` leaves out terms with longer lists; that changes
+    results and is off by default.
     """
     right = index.select("feature", "term", F.col("title").alias("neighbor"), F.col("score").alias("other"))
     if max_postings:
         short = index.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term")
         right = right.join(short, ["feature", "term"], "left_semi")
-    met = queries.select("feature", "term", "title", "score").join(right, ["feature", "term"]).where("title <> neighbor")
+    met = salted_join(queries.select("feature", "term", "title", "score"), right, ["feature", "term"], "title").where("title <> neighbor")
     return met.groupBy("title", "neighbor", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("score") * F.col("other")).alias("dot"))
 
 
@@ -74,7 +81,7 @@ def nearest_neighbors(
     right = index.select("feature", "term", F.col("title").alias("neighbor"), F.col("score").alias("other"))
     if max_postings:
         right = right.join(index.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term"), ["feature", "term"], "left_semi")
-    met = query.select("feature", "term", "title", "score").join(right, ["feature", "term"]).where("title <> neighbor")
+    met = salted_join(query.select("feature", "term", "title", "score"), right, ["feature", "term"], "title").where("title <> neighbor")
     of = lambda f: F.col("feature") == f
     pair = met.groupBy("title", "neighbor").agg(
         F.count(F.when(of("words"), 1)).alias("n_w"), F.coalesce(F.sum(F.when(of("words"), F.col("score") * F.col("other"))), F.lit(0.0)).alias("dot_w"),

@@ -240,7 +240,7 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query()
 def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
-    return neighbors.posting_lists(_postings(spark, sf)).select("feature", "term", F.to_json("list").alias("list"))
+    return neighbors.posting_lists(_postings(spark, sf)).select("feature", "term", "segment", F.to_json("list").alias("list"))
 
 
 def _common(spark: SparkSession, sf: str, feature: str) -> DataFrame:

@@ -195,3 +195,15 @@ def test_queries_against_sql(spark, sf, name):
     got = [tuple(r) for r in df.select(*cols).collect()]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_salted_join_and_segments(spark):
+    from atlaswright.operators.skew import salted_join
+
+    left = spark.createDataFrame([("hot", k) for k in range(50)] + [("b", 1), (None, 2)], "k string, x int")
+    right = spark.createDataFrame([("hot", "p"), ("hot", "q"), ("b", "r"), ("c", "s"), (None, "t")], "k string, y string")
+    got = sorted(map(tuple, salted_join(left, right, ["k"], "x", 7).collect()))
+    assert got == sorted(map(tuple, left.join(right, "k").collect())) and len(got) == 101
+    rows = left.where("k is not null").select(F.lit("f").alias("feature"), F.col("k").alias("term"), F.col("x").cast("string").alias("title"), F.lit(0.5).alias("score"))
+    lists = neighbors.posting_lists(rows, 8).collect()
+    assert sum(len(r.list) for r in lists) == 51 and max(len(r.list) for r in lists) < 30
