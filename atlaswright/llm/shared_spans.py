@@ -223,24 +223,21 @@ def _symbol_rows(docs: DataFrame, width: int) -> DataFrame:
 def _window_prints(texts: DataFrame, width: int) -> DataFrame:
     """``key, whole, lo, hi, at, print``: each window of the variants (of one text) listed in ``reps``."""
     import pyarrow as pa
-    import xxhash
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, whole, lo, hi, at, out = [], [], [], [], [], []
-            for text, reps in zip(b.column(0), b.column(1)):
-                text = text.as_py()
-                for r in reps.as_py():
-                    first, n = r["first"], r["n"]
-                    key += [r["key"]] * n
-                    whole += [r["whole"]] * n
-                    lo += [r["lo"]] * n
-                    hi += [r["hi"]] * n
-                    at += range(n)
-                    part = text[first : first + n - 1 + width]
-                    out += [xxhash.xxh3_64_intdigest(part[i : i + width].encode("utf-8", "surrogatepass")) for i in range(n)]
-            cols = [pa.array(key, pa.int64()), pa.array(whole, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(at, pa.int32()), pa.array(np.array(out, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["key", "whole", "lo", "hi", "at", "print"])
+            if not b.num_rows:
+                continue
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
+            for text, reps in zip(b.column(0), b.column(1).to_pylist()):
+                prints = Prints(_mix(_codes(text.as_py()) * _B + _A))
+                first, n = np.array([r["first"] for r in reps]), np.array([r["n"] for r in reps])
+                starts = _spread(first, first + n)
+                for c, name in zip(cols, ("key", "whole", "lo", "hi")):
+                    c.append(np.repeat(np.array([r[name] for r in reps], np.int64), n))
+                cols[4].append((starts - np.repeat(first, n)).astype(np.int32))
+                cols[5].append(prints.of(starts, starts + width).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "whole", "lo", "hi", "at", "print"])
 
     return texts.mapInArrow(rows, "key long, whole long, lo long, hi long, at int, print long")
 
@@ -254,7 +251,7 @@ def shared_spans(docs: DataFrame, width: int = 150) -> DataFrame:
        the rows of kept symbols go on, a small part of the text.
     3. Rows with the same symbol and the same characters are one variant. A variant in two documents is shared whole.
     4. Where a symbol has several variants, passages begin or end, or only the symbol is the same: there the windows of
-       one copy of each variant are fingerprinted again, from the text, by another hash, and compared.
+       one copy of each variant are fingerprinted again, from the text, over other character hashes, and compared.
 
     So the result is exact (up to 64-bit fingerprints on top of equal symbols), with no pair of documents ever formed and no limit
     on copies: a passage in a third of all documents is one variant. Passages repeated inside one document only do not count.
