@@ -118,7 +118,8 @@ def points_within(
     disc = disc.withColumn("inside", interior).where(~outside).join(hot, ["band", "col", "sub"], "left")
     left = disc.select("band", "col", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col("id").alias("id_a"), "lat", "lon", "inside")
 
-    pairs = left.join(right, ["band", "col", "sub", "salt"]).where(F.col("id_a") < F.col("id_b"))
+    # the covering is larger than its table's size suggests, so it must not be taken for a side to broadcast
+    pairs = left.join(right.hint("merge"), ["band", "col", "sub", "salt"]).where(F.col("id_a") < F.col("id_b"))
     close = F.when(F.col("inside"), True).otherwise(haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= km)
     return pairs.where(close).select("id_a", "id_b")
 
