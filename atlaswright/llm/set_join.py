@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.readings import category_reading, location_reading
+from atlaswright.session import cut
 
 
 def merge_skip(lists: list[list[int]], need: int, end: int) -> Iterator[tuple[int, int]]:
@@ -123,11 +124,13 @@ def similar_sets(rows: DataFrame, t: float = 0.6, min_size: int = 3, cross: bool
         nxt = todo.where(F.col("need") >= depth).select("id", "n", "need", "key", "path", F.col("rest").alias("all"), F.posexplode(first).alias("p", "x")).where("x.df > 1")
         nxt = nxt.select("id", "n", "need", F.xxhash64("key", "x.v").alias("key"), F.concat("path", F.array("x")).alias("path"), F.slice("all", F.col("p") + 2, F.size("all")).alias("rest"))
         sizes = nxt.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("least")).where("c > 1")
-        met = nxt.join(sizes, "key")
+        met, _ = cut(nxt.join(sizes, "key"), "partitions")
         # a larger partition is refined, unless for sets that need no further common value: they meet it whole
         last = (F.col("c") <= block) | (F.col("least") <= depth) if depth < 3 else F.lit(True)
         done.append(met.where(last))
         todo = met.where((F.col("c") > block) & (F.col("need") > depth))
+        if todo.isEmpty():
+            break
     ready = done[0]
     for d in done[1:]:
         ready = ready.unionByName(d)
