@@ -107,6 +107,7 @@ def similar_sets(rows: DataFrame, t: float = 0.6, min_size: int = 3, cross: bool
     base = rows.where("part is not null and record is not null and value is not null").select("part", "side", "record", F.xxhash64("part", "value").alias("v")).distinct()
     df = base.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
     sets = base.join(df, "v").groupBy("part", "side", "record").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s")).where(F.size("s") >= min_size)
+    sets, _ = cut(sets, "sets")
     keyed = ["part", "s"] + (["side"] if cross else [])
     named = sets.groupBy(*keyed).agg(F.min("record").alias("class"))
     members = sets.join(named, keyed).select("part", "side", "record", "class")
