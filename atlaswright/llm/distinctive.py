@@ -28,6 +28,7 @@ def term_weights(counts: DataFrame) -> DataFrame:
 
     ``counts`` has one row for each record and term with tf >= 1. With fewer than two records every global weight is 1.
     """
+    counts = counts.select("record", "term", "tf")
     n = counts.agg(F.count_distinct("record").cast("double").alias("n"))
     t = F.col("tf").cast("double")
     spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(t).alias("s"), F.sum(t * F.log(t)).alias("x"))

@@ -66,7 +66,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_tokens: int = 16
     Shards are hashes of ``doc_id``, so a task that runs again gives the same result.
 
     Null, empty and blank texts of 0 tokens take no container and give no row. Texts that occur under
-    several ids are packed each; rows with a null id are dropped. Repeated ids must be settled before.
+    several ids are packed each; rows with a null id are dropped. Rows that repeat an id are packed each, like different texts.
     """
     counts = count_tokens(docs.where("doc_id is not null"), tokenizer=tokenizer).where("n_tokens > 0")
     shards = _shards(docs, shard_tokens)

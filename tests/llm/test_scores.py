@@ -113,3 +113,10 @@ def test_kept_neighbors(spark):
     got = kept_neighbors(spark.createDataFrame(rows, "title string, neighbor string, score double, rank int")).collect()
     assert [(r.title, r.neighbor, r.score) for r in got] == [("a", "b", 0.4)]
     assert kept_neighbors(spark.createDataFrame([], "title string, neighbor string, score double")).count() == 0
+
+
+def test_clashing_columns(spark):
+    counts = spark.createDataFrame([("A", "x", 2, 9, 9.0), ("B", "y", 1, 9, 9.0)], "record string, term string, tf long, df long, weight double")
+    assert {r.record: r.df for r in term_weights(counts).collect()} == {"A": 1, "B": 1}
+    scores = spark.createDataFrame([("t", "i", 1.0, 2.0, 3.0, 4, 5.0)], "title string, neighbor string, tf_idf double, named_locations double, categories double, rank int, fused double")
+    assert candidate_ranking(scores).first()["rank"] == 1
