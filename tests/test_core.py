@@ -203,3 +203,18 @@ def test_points_in_regions(spark):
     df = spark.createDataFrame([*pts, (None, 1.0, 1.0), (9999, None, 1.0), (0, pts[0][1], pts[0][2])], "id int, lat double, lon double")
     got = [tuple(r) for r in points_in_regions(df, regions, cell_deg=4.0, levels=3, block=20).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([("k", 1, 2.0, 7, "x"), ("k", 3, 4.0, 7, "x")], "k string, t int, v double, period int, status string")
+    assert [(r.period, r.value) for r in regular_grid(df, ["k"], F.col("t"), F.col("v")).orderBy("period").collect()] == [(1, 2.0), (2, 3.0), (3, 4.0)]
+    pts = spark.createDataFrame([("a", 1.0, 1.0, 5, 6, True), ("b", 1.0, 1.0, 5, 6, True)], "id string, lat double, lon double, band int, col int, dense boolean")
+    assert [tuple(r) for r in points_within(pts, "id", "lat", "lon", 1.0).collect()] == [("a", "b")]
+    links = spark.createDataFrame([("a", "b", 1, "r")], "parent string, child string, steps int, root string")
+    assert {r.node: r.depth for r in hierarchies(spark.createDataFrame([("a", 3)], "node string, depth int"), links).collect()} == {"a": 0, "b": 1}
+
+
+def test_one_source_with_most_readings_spreads(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2900, "hot").otherwise(F.concat(F.lit("s"), F.col("id"))).alias("k"), (F.col("id") % 2500).alias("t"), F.col("id").cast("double").alias("v"))
+    got = regular_grid(df, ["k"], F.col("t"), F.col("v"), shard_len=16)
+    assert got.where("k = 'hot'").count() == 2500 and got.where("status <> 'observed'").count() == 0
