@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlaswright.config import DEFAULTS, Settings, Weights
 from atlaswright.operators.skew import salted_join
+from atlaswright.session import cut
+
+FEATURES = ("words", "locations", "categories")
 
 
 def postings(words: DataFrame, locations: DataFrame, categories: DataFrame, located: DataFrame) -> DataFrame:
@@ -33,19 +36,38 @@ def posting_lists(rows: DataFrame, most: int = 4096) -> DataFrame:
     return cut.groupBy("feature", "term", "segment").agg(F.sort_array(F.collect_list(point)).alias("list"))
 
 
-def common_terms(queries: DataFrame, index: DataFrame, max_postings: int | None = None) -> DataFrame:
+def _numbered(*tables: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Ids of all titles (in the titles' order), and each table with ``title`` replaced by ``id``: pairs of numbers shuffle lighter."""
+    every = tables[0].select("title")
+    for t in tables[1:]:
+        every = every.unionByName(t.select("title"))
+    ids, _ = cut(dense_ids(every, "title"), "ids")
+    return ids, [t.join(ids, "title").drop("title") for t in tables]
+
+
+def _named(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``a`` and ``b`` as ``title`` and ``neighbor`` again."""
+    out = pairs.join(ids.select(F.col("id").alias("a"), "title"), "a").join(ids.select(F.col("id").alias("b"), F.col("title").alias("neighbor")), "b")
+    return out.drop("a", "b")
+
+
+def common_terms(queries: DataFrame, index: DataFrame, keep: Column | None = None, max_postings: int | None = None) -> DataFrame:
     """``title, neighbor, feature, n, dot``: terms in common and dot product of every query title and index title sharing a term.
 
     One self-join gives counts and dot products, both being sums over the same terms. A term with most of the postings makes
-    a large join partition, which is salted. ``max_postings`` leaves out terms with longer lists; that changes
-    results and is off by default.
+    a large join partition, which is salted. ``keep`` is a condition on ``feature``, ``n`` and ``dot``. ``max_postings`` leaves out
+    terms with longer lists; that changes results and is off by default.
     """
-    right = index.select("feature", "term", F.col("title").alias("neighbor"), F.col("score").alias("other"))
+    ids, (q, x) = _numbered(queries.select("feature", "term", "title", "score"), index.select("feature", "term", "title", "score"))
+    right = x.select("feature", "term", F.col("id").alias("b"), F.col("score").alias("other"))
     if max_postings:
-        short = index.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term")
+        short = x.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term")
         right = right.join(short, ["feature", "term"], "left_semi")
-    met = salted_join(queries.select("feature", "term", "title", "score"), right, ["feature", "term"], "title").where("title <> neighbor")
-    return met.groupBy("title", "neighbor", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("score") * F.col("other")).alias("dot"))
+    met = salted_join(q.withColumnRenamed("id", "a"), right, ["feature", "term"], "a", 256).where("a <> b")
+    kind = F.when(F.col("feature") == FEATURES[0], 0).when(F.col("feature") == FEATURES[1], 1).otherwise(2)
+    common = met.groupBy("a", "b", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("score") * F.col("other")).alias("dot"))
+    common = common.withColumn("feature", F.array(*map(F.lit, FEATURES))[F.col("kind")])
+    return _named(common if keep is None else common.where(keep), ids).select("title", "neighbor", "feature", "n", "dot")
 
 
 def candidates(common: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -68,7 +90,7 @@ def nearest_neighbors(
     Similarity is the weighted sum of the cosines of word and location vectors and the Jaccard similarity of categories. A pair is
     compared if it shares two words, a location or a category; a feature of weight 0 makes no candidates. Query titles' locations count for candidates
     beyond the vector's cut (``all_locations``). Pairs in which neither has a category have no Jaccard similarity and are dropped,
-    unless told otherwise (then it is 0). Scores below ``least_similarity`` do not count; ties go to the smaller neighbour.
+    unless told otherwise (then it is 0). Scores below ``least_similarity``, as single-precision numbers, do not count; ties go to the smaller neighbour.
     """
     use = {"words": weights.words, "locations": weights.locations, "categories": weights.categories}
     rows = postings(words, locations, categories, located)
@@ -78,25 +100,32 @@ def nearest_neighbors(
     if weights.locations > 0:
         beyond = all_locations.select("title", F.col("location").alias("term")).distinct().join(rows.where("feature = 'locations'").select("title", "term"), ["title", "term"], "left_anti")
         query = query.select("feature", "term", "title", "score").unionByName(beyond.select(F.lit("locations").alias("feature"), "term", "title", F.lit(0.0).alias("score")))
-    right = index.select("feature", "term", F.col("title").alias("neighbor"), F.col("score").alias("other"))
+    held = categories.select("title", "category").distinct().groupBy("title").agg(F.count(F.lit(1)).alias("k"))
+    ids, (q, x, held) = _numbered(query.select("feature", "term", "title", "score"), index.select("feature", "term", "title", "score"), held)
+    right = x.select("feature", "term", F.col("id").alias("b"), F.col("score").alias("other"))
     if max_postings:
-        right = right.join(index.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term"), ["feature", "term"], "left_semi")
-    met = salted_join(query.select("feature", "term", "title", "score"), right, ["feature", "term"], "title").where("title <> neighbor")
-    of = lambda f: F.col("feature") == f
-    pair = met.groupBy("title", "neighbor").agg(
-        F.count(F.when(of("words"), 1)).alias("n_w"), F.coalesce(F.sum(F.when(of("words"), F.col("score") * F.col("other"))), F.lit(0.0)).alias("dot_w"),
-        F.count(F.when(of("locations"), 1)).alias("n_l"), F.coalesce(F.sum(F.when(of("locations"), F.col("score") * F.col("other"))), F.lit(0.0)).alias("dot_l"),
-        F.count(F.when(of("categories"), 1)).alias("n_c"),
-    )
+        right = right.join(x.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term"), ["feature", "term"], "left_semi")
+    # one sum for the weighted products and one for the three counts, twenty bits each: pairs are many, so their rows are kept short
+    share, unit = F.lit(0.0), F.lit(0).cast("long")
+    for k, f in enumerate(FEATURES):
+        share = F.when(F.col("feature") == f, use[f] if f != "categories" else 0.0).otherwise(share)
+        unit = F.when(F.col("feature") == f, F.lit(1 << (20 * k)).cast("long")).otherwise(unit)
+    left = q.select("feature", "term", F.col("id").alias("a"), (F.col("score") * share).alias("score"), unit.alias("unit"))
+    met = salted_join(left, right, ["feature", "term"], "a", 256).where("a <> b")
+    pair = met.groupBy("a", "b").agg(F.sum(F.col("score") * F.col("other")).alias("dots"), F.sum("unit").alias("units"))
+    part = lambda k: F.shiftright("units", 20 * k).bitwiseAND(F.lit((1 << 20) - 1))
+    pair = pair.select("a", "b", "dots", *[part(k).alias(n) for k, n in enumerate(("n_w", "n_l", "n_c"))])
     pair = pair.where((F.col("n_w") >= settings.least_common_words) | (F.col("n_l") >= settings.least_common_locations) | (F.col("n_c") >= settings.least_common_categories))
-    held = categories.select("title", "category").distinct().groupBy("title").agg(F.count(F.lit(1)).alias("k"))
-    pair = pair.join(held.withColumnRenamed("k", "k_a"), "title", "left").join(held.select(F.col("title").alias("neighbor"), F.col("k").alias("k_b")), "neighbor", "left")
+    # Jaccard similarity is at most 1: most pairs go before their categories are looked up
+    pair = pair.where(F.col("dots") + F.when(F.col("n_c") > 0, weights.categories).otherwise(0.0) >= settings.least_similarity - 1e-7)
+    pair = pair.join(held.select(F.col("id").alias("a"), F.col("k").alias("k_a")), "a", "left").join(held.select(F.col("id").alias("b"), F.col("k").alias("k_b")), "b", "left")
     union = F.coalesce("k_a", F.lit(0)) + F.coalesce("k_b", F.lit(0)) - F.col("n_c")
     jaccard = F.when(union > 0, F.col("n_c") / F.when(union > 0, union)).otherwise(F.lit(None) if drop_uncategorised_pairs else F.lit(0.0))
-    score = weights.words * F.col("dot_w") + weights.locations * F.col("dot_l") + weights.categories * jaccard
-    scored = pair.select("title", "neighbor", score.alias("score")).where(F.col("score") >= settings.least_similarity)
-    best = Window.partitionBy("title").orderBy(F.desc(F.round("score", 9)), "neighbor")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= settings.most_neighbors)
+    score = F.col("dots") + weights.categories * jaccard
+    scored = pair.select("a", "b", score.alias("score")).where(F.col("score").cast("float").cast("double") >= settings.least_similarity)
+    best = Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b")
+    ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= settings.most_neighbors)
+    return _named(ranked, ids).select("title", "neighbor", "score", "rank")
 
 
 def verified(neighbors: DataFrame, titles: DataFrame) -> DataFrame:

@@ -243,25 +243,26 @@ def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
     return neighbors.posting_lists(_postings(spark, sf)).select("feature", "term", "segment", F.to_json("list").alias("list"))
 
 
-def _common(spark: SparkSession, sf: str, feature: str) -> DataFrame:
+def _common(spark: SparkSession, sf: str, feature: str, keep: str) -> DataFrame:
     rows = _postings(spark, sf).where(F.col("feature") == feature)
-    return neighbors.common_terms(rows, rows.where("has_coords"))
+    return neighbors.common_terms(rows, rows.where("has_coords"), F.expr(keep))
 
 
 @_query(f"WITH {_POST}, {_COMMON} SELECT title, neighbor, n FROM common WHERE feature = 'words' AND n >= 2")
 def posting_prune_k(spark: SparkSession, sf: str) -> DataFrame:
-    return _common(spark, sf, "words").where("n >= 2").select("title", "neighbor", "n")
+    return _common(spark, sf, "words", "n >= 2").select("title", "neighbor", "n")
 
 
 @_query(f"WITH {_POST}, {_COMMON} SELECT DISTINCT title, neighbor FROM common WHERE feature = 'words' AND n >= 2 OR feature = 'locations' AND n >= 1")
 def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
     rows = _postings(spark, sf).where("feature in ('words', 'locations')")
-    return neighbors.candidates(neighbors.common_terms(rows, rows.where("has_coords")))
+    enough = F.expr("n >= if(feature = 'words', 2, 1)")
+    return neighbors.candidates(neighbors.common_terms(rows, rows.where("has_coords"), enough))
 
 
 @_query(f"WITH {_POST}, {_COMMON} SELECT title, neighbor, round(dot, 6) AS cosine FROM common WHERE feature = 'words' AND round(dot, 6) >= 0.1")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _common(spark, sf, "words").select("title", "neighbor", F.round("dot", 6).alias("cosine")).where("cosine >= 0.1")
+    return _common(spark, sf, "words", "round(dot, 6) >= 0.1").select("title", "neighbor", F.round("dot", 6).alias("cosine"))
 
 
 @_query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, round(list_sum(list_transform(range(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * embedding[i + 1])), 6) AS shifted FROM embeddings")
@@ -295,7 +296,7 @@ held AS (SELECT title, count(*) AS k FROM cats GROUP BY title),
 blend AS (
   SELECT p.title, neighbor, (dot_w + dot_l + n_c / nullif(coalesce(x.k, 0) + coalesce(y.k, 0) - n_c, 0)) / 3 AS score
   FROM pair p LEFT JOIN held x ON x.title = p.title LEFT JOIN held y ON y.title = neighbor WHERE n_w >= 2 OR n_l >= 1 OR n_c >= 1),
-near AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY round(score, 9) DESC, neighbor) AS rank FROM blend WHERE score >= 0.1)
+near AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY round(score, 9) DESC, neighbor) AS rank FROM blend WHERE CAST(CAST(score AS FLOAT) AS DOUBLE) >= 0.1)
 """
 
 
@@ -309,7 +310,7 @@ def knn_blended(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).withColumn("score", F.round("score", 6))
 
 
-@_query(f"WITH {_POST}, {_COMMON}, s AS (SELECT title, neighbor, dot, row_number() OVER (PARTITION BY title ORDER BY round(dot, 9) DESC, neighbor) AS rank FROM common WHERE feature = 'words' AND n >= 2 AND dot >= 0.1) SELECT title, neighbor, round(dot, 6) AS score, CAST(rank AS INT) AS rank FROM s WHERE rank <= 100")
+@_query(f"WITH {_POST}, {_COMMON}, s AS (SELECT title, neighbor, dot, row_number() OVER (PARTITION BY title ORDER BY round(dot, 9) DESC, neighbor) AS rank FROM common WHERE feature = 'words' AND n >= 2 AND CAST(CAST(dot AS FLOAT) AS DOUBLE) >= 0.1) SELECT title, neighbor, round(dot, 6) AS score, CAST(rank AS INT) AS rank FROM s WHERE rank <= 100")
 def knn_words(spark: SparkSession, sf: str) -> DataFrame:
     locs = _locations(spark, sf)
     near = neighbors.nearest_neighbors(vectors.word_vectors(_counts(spark, sf)), vectors.location_vectors(locs), locs, _cats(spark, sf), _positions(spark, sf), Weights(1, 0, 0), drop_uncategorised_pairs=False)
