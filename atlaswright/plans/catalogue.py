@@ -253,9 +253,9 @@ def posting_prune_k(spark: SparkSession, sf: str) -> DataFrame:
     return _common(spark, sf, "words", "n >= 2").select("title", "neighbor", "n")
 
 
-@_query(f"WITH {_POST}, {_COMMON} SELECT DISTINCT title, neighbor FROM common WHERE feature = 'words' AND n >= 2 OR feature = 'locations' AND n >= 1")
+@_query(f"WITH {_POST}, {_COMMON} SELECT DISTINCT title, neighbor FROM common WHERE feature = 'words' AND n >= 2 OR feature <> 'words' AND n >= 1")
 def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _postings(spark, sf).where("feature in ('words', 'locations')")
+    rows = _postings(spark, sf)
     enough = F.expr("n >= if(feature = 'words', 2, 1)")
     return neighbors.candidates(neighbors.common_terms(rows, rows.where("has_coords"), enough))
 
