@@ -36,8 +36,8 @@ def idf(counts: DataFrame) -> DataFrame:
     return dictionary(counts).join(F.broadcast(n)).select("word", "df", F.log10(F.col("n_docs") / F.col("df")).alias("idf"))  # n is one row
 
 
-def _top_normal(scored: DataFrame, key: str, top: int, tie: str) -> DataFrame:
-    best = Window.partitionBy("title").orderBy(F.desc("score"), tie)
+def _top_normal(scored: DataFrame, key: str, top: int, *ties: str) -> DataFrame:
+    best = Window.partitionBy("title").orderBy(F.desc("score"), *ties)
     kept = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
     norm = F.sqrt(F.sum(F.col("score") * F.col("score")).over(Window.partitionBy("title")))
     return kept.select("title", key, F.when(norm > 0, F.col("score") / norm).otherwise(0.0).alias("score"))
@@ -65,6 +65,6 @@ def usable_locations(named_locations: DataFrame, last_word: int | None = DEFAULT
 
 
 def location_vectors(locations: DataFrame, top: int = DEFAULTS.top_locations) -> DataFrame:
-    """``title, location, score``: square root of a location's share of all mentions, the ``top`` best at length 1; ties by first mention."""
+    """``title, location, score``: square root of a location's share of all mentions, the ``top`` best at length 1; ties by first mention, then by location."""
     share = F.sqrt(F.col("cnt") / F.sum("cnt").over(Window.partitionBy("title")))
-    return _top_normal(locations.withColumn("score", share), "location", top, "ord").select("title", "location", "score")
+    return _top_normal(locations.withColumn("score", share), "location", top, "ord", "location").select("title", "location", "score")

@@ -94,7 +94,7 @@ locs AS (
     WHERE title IS NOT NULL AND cnt >= 1 AND ord BETWEEN 0 AND 250)
   WHERE location IS NOT NULL GROUP BY title, location),
 shares AS (SELECT title, location, ord, sqrt(cnt / sum(cnt) OVER (PARTITION BY title)) AS score FROM locs),
-topl AS (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, ord) <= 20),
+topl AS (SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY title ORDER BY score DESC, ord, location) <= 20),
 locv AS (SELECT title, location, score / sqrt(sum(score * score) OVER (PARTITION BY title)) AS score FROM topl)
 """
 
@@ -232,9 +232,9 @@ index AS (SELECT * FROM post WHERE title IN (SELECT title FROM pos))
 _COMMON = "common AS (SELECT a.title, b.title AS neighbor, a.feature, count(*) AS n, sum(a.score * b.score) AS dot FROM post a JOIN index b ON a.feature = b.feature AND a.term = b.term AND a.title <> b.title GROUP BY ALL)"
 
 
-@_query(f"WITH {_POST} SELECT feature, term, count(*) AS n, count(*) FILTER (title IN (SELECT title FROM pos)) AS n_located, min(title) AS first, CAST(sum(trunc(round(score * 1000000, 3))) AS BIGINT) AS points FROM post WHERE feature <> 'locations' GROUP BY feature, term")
+@_query(f"WITH {_POST} SELECT feature, term, count(*) AS n, count(*) FILTER (title IN (SELECT title FROM pos)) AS n_located, min(title) AS first, CAST(sum(trunc(round(score * 1000000, 3))) AS BIGINT) AS points FROM post GROUP BY feature, term")
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _postings(spark, sf).where("feature <> 'locations'").withColumn("p", F.round(F.col("score") * 1_000_000, 3).cast("long"))
+    rows = _postings(spark, sf).withColumn("p", F.round(F.col("score") * 1_000_000, 3).cast("long"))
     return rows.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("has_coords"), 1)).alias("n_located"), F.min("title").alias("first"), F.sum("p").alias("points"))
 
 

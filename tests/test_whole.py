@@ -47,3 +47,13 @@ def test_candidates_of_all_features(spark, tables):
     got = [tuple(r) for r in entry.queries()["candidate_union"](spark, sf).select("title", "neighbor").collect()]
     assert ("F", "C") in want and ("A", "E") in want and sorted(got) == sorted(want)
     assert sorted(by_sql(sf, "candidate_union").fetchall()) == sorted(want)
+
+
+def test_postings_of_all_features(spark, tables):
+    tied = [("T", f"L{k:02}", 1, 7) for k in range(22)]  # two more than a vector holds, all named by the same word
+    sf = tables(article_words=WORDS, named_locations=(NAMED[0], NAMED[1] + tied), categories=CATS, coordinates=SPOTS)
+    rows = entry.queries()["postings"](spark, sf).select("feature", "term", "n", "n_located", "first", "points").collect()
+    got = {r.term: (r.n, r.n_located, r.first) for r in rows if r.feature == "locations"}
+    assert got == {"P": (2, 1, "A"), "Q": (1, 1, "C"), "R": (1, 0, "F")} | {f"L{k:02}": (1, 0, "T") for k in range(20)}
+    assert {r.feature for r in rows} == {"words", "locations", "categories"}
+    assert sorted(map(tuple, rows)) == sorted(by_sql(sf, "postings").fetchall())
