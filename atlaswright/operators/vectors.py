@@ -68,3 +68,20 @@ def location_vectors(locations: DataFrame, top: int = DEFAULTS.top_locations) ->
     """``title, location, score``: square root of a location's share of all mentions, the ``top`` best at length 1; ties by first mention, then by location."""
     share = F.sqrt(F.col("cnt") / F.sum("cnt").over(Window.partitionBy("title")))
     return _top_normal(locations.withColumn("score", share), "location", top, "ord", "location").select("title", "location", "score")
+
+
+def dense_cosines(rows: DataFrame, least: float = DEFAULTS.least_similarity, blocks: int = 16) -> DataFrame:
+    """``id_a, id_b, cosine`` of ``id, vector``: every pair of vectors with a cosine of at least ``least`` (at six places), ``id_a < id_b``.
+
+    All vectors meet all others, block by block; each row is sent ``blocks`` times. Ids are distinct. Null ids, and vectors that are null, empty,
+    of length 0 or hold a null or a value that is no number, have no cosine; vectors of unlike sizes do not meet.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    v = rows.where("id is not null and vector is not null").select("id", F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    v = v.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    v = v.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("own"))
+    left = v.select(F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.lit(blocks - 1).cast("long"))).alias("j"), F.col("id").alias("a"), "v")
+    right = v.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("own"))).alias("i"), F.col("own").alias("j"), F.col("id").alias("b"), F.col("v").alias("w"))
+    met = left.join(right, ["i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))) & (F.size("v") == F.size("w")))
+    met = met.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), dot(F.col("v"), F.col("w")).alias("cosine"))
+    return met.where(F.round("cosine", 6) >= least)

@@ -272,6 +272,16 @@ def dense_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("vec_id", "label", F.round(F.sqrt(dot(F.col("e"), F.col("e"))), 6).alias("norm"), F.round(dot(F.col("e"), F.slice("e", F.lit(2), F.size("e"))), 6).alias("shifted"))
 
 
+@_query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+    u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM e),
+    c AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS cosine FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+      WHERE a.norm > 0 AND b.norm > 0 AND isfinite(a.norm) AND isfinite(b.norm))
+    SELECT id_a, id_b, cosine FROM c WHERE cosine >= 0.1""")
+def cosine_dense(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.dense_cosines(rows).withColumn("cosine", F.round("cosine", 6))
+
+
 @_query(f"""WITH {_CATS}, {_POSITIONS}, held AS (SELECT title, category, count(*) OVER (PARTITION BY title) AS k FROM cats),
     common AS (SELECT a.title, b.title AS neighbor, count(*) AS c, any_value(a.k) AS ka, any_value(b.k) AS kb FROM held a JOIN held b ON a.category = b.category AND a.title <> b.title WHERE b.title IN (SELECT title FROM pos) GROUP BY a.title, b.title)
     SELECT title, neighbor, round(c / (ka + kb - c), 6) AS jaccard FROM common WHERE round(c / (ka + kb - c), 6) >= 0.5""")

@@ -1,5 +1,7 @@
 """Queries over small tables of their own, against plain Python."""
 
+import math
+import random
 from itertools import product
 
 import __spark_entry__ as entry
@@ -57,3 +59,16 @@ def test_postings_of_all_features(spark, tables):
     assert got == {"P": (2, 1, "A"), "Q": (1, 1, "C"), "R": (1, 0, "F")} | {f"L{k:02}": (1, 0, "T") for k in range(20)}
     assert {r.feature for r in rows} == {"words", "locations", "categories"}
     assert sorted(map(tuple, rows)) == sorted(by_sql(sf, "postings").fetchall())
+
+
+def test_dense_cosines_of_all_pairs(spark, tables):
+    rng = random.Random(1)
+    vs = {k: [rng.uniform(-1, 1) for _ in range(4)] for k in range(45)}
+    odd = [(50, [0.0] * 4), (51, None), (52, [1.0, None, 1.0, 1.0]), (53, [float("nan")] * 4), (54, [1.0, 1.0]), (55, []), (None, [1.0] * 4)]
+    sf = tables(embeddings=("vec_id long, embedding array<double>", [*vs.items(), *odd]))
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    cos = {(a, b): dot(vs[a], vs[b]) / math.sqrt(dot(vs[a], vs[a]) * dot(vs[b], vs[b])) for a in vs for b in vs if a < b}
+    want = {k: round(c, 6) for k, c in cos.items() if round(c, 6) >= 0.1}
+    got = entry.queries()["cosine_dense"](spark, sf).select("id_a", "id_b", "cosine").collect()
+    assert len(got) == len(want) > 300 and all(abs(want[(r.id_a, r.id_b)] - r.cosine) < 2e-6 for r in got)
+    assert sorted(map(tuple, got)) == sorted(by_sql(sf, "cosine_dense").fetchall())
