@@ -384,26 +384,26 @@ def variant_count(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- positions and categories ----------------------------------------------------------------------------
 
-_SPOTS = "spots AS (SELECT s_suppkey AS id, s_nationkey AS nation, (s_suppkey * 37 % 17000) / 100.0 - 85 AS lat, (s_suppkey * 91 % 36000) / 100.0 - 180 AS lon FROM supplier WHERE s_suppkey % 3 <> 0)"
+_PLACES = f"{_LOCS}, {_POSITIONS}, places AS (SELECT locs.title, location AS place, lat, lon FROM locs LEFT JOIN pos ON pos.title = location)"
 
 
-def _spots(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    lat, lon = (k * 37 % 17000) / 100.0 - 85, (k * 91 % 36000) / 100.0 - 180
-    return table(spark, sf, "supplier").where(k % 3 != 0).select(k.alias("id"), F.col("s_nationkey").alias("nation"), lat.alias("lat"), lon.alias("lon"))
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    """The places that each title names, with their current positions, if any."""
+    spots = _positions(spark, sf).withColumnRenamed("title", "place")
+    return _locations(spark, sf).select("title", F.col("location").alias("place")).join(spots, "place", "left")
 
 
-@_query(f"WITH {_SPOTS} SELECT a.id AS id_a, b.id AS id_b, round({_dist('a', 'b')}, 6) AS km FROM spots a JOIN spots b ON a.nation = b.nation AND a.id < b.id")
+@_query(f"WITH {_PLACES} SELECT a.title, a.place AS place_a, b.place AS place_b, CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN round({_dist('a', 'b')}, 6) END AS km FROM places a JOIN places b ON a.title = b.title AND a.place < b.place")
 def haversine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = _spots(spark, sf)
-    q = p.select(F.col("id").alias("id_b"), "nation", F.col("lat").alias("y"), F.col("lon").alias("x"))
-    return p.join(q, "nation").where("id < id_b").select(F.col("id").alias("id_a"), "id_b", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 6).alias("km"))
+    p = _places(spark, sf)
+    q = p.select("title", F.col("place").alias("place_b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    return p.join(q, "title").where("place < place_b").select("title", F.col("place").alias("place_a"), "place_b", F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")), 6).alias("km"))
 
 
-@_query(f"WITH {_SPOTS} SELECT nation, round(max({_dist('a', 'b')}), 6) AS diameter FROM (SELECT a.nation, a, b FROM spots a JOIN spots b ON a.nation = b.nation AND a.id <= b.id) GROUP BY nation HAVING max({_dist('a', 'b')}) <= 12000")
+@_query(f"WITH {_PLACES}, found AS (SELECT * FROM places WHERE lat IS NOT NULL) SELECT title, round(max({_dist('a', 'b')}), 6) AS diameter FROM (SELECT a.title, a, b FROM found a JOIN found b ON a.title = b.title AND a.place <= b.place) GROUP BY title HAVING max({_dist('a', 'b')}) <= 12000")
 def diameter_filter(spark: SparkSession, sf: str) -> DataFrame:
-    g = _spots(spark, sf).select(F.col("nation").alias("key"), F.col("id").alias("name"), "lat", "lon")
-    return category_stats.within_diameter(g, 12000).select(F.col("key").alias("nation"), F.round("diameter", 6).alias("diameter"))
+    g = _places(spark, sf).select(F.col("title").alias("key"), F.col("place").alias("name"), "lat", "lon")
+    return category_stats.within_diameter(g, 12000).select(F.col("key").alias("title"), F.round("diameter", 6).alias("diameter"))
 
 
 _STATS = f"""{_CATS}, {_POSITIONS},

@@ -72,3 +72,22 @@ def test_dense_cosines_of_all_pairs(spark, tables):
     got = entry.queries()["cosine_dense"](spark, sf).select("id_a", "id_b", "cosine").collect()
     assert len(got) == len(want) > 300 and all(abs(want[(r.id_a, r.id_b)] - r.cosine) < 2e-6 for r in got)
     assert sorted(map(tuple, got)) == sorted(by_sql(sf, "cosine_dense").fetchall())
+
+
+def test_distances_among_named_places(spark, tables):
+    spots = {"P3": (10.0, 20.0), "P6": (10.5, 21.0), "P9": (-40.0, -160.0), "P0": (0.0, 0.0), "T": (1.0, 1.0)}  # 0/0 is no position
+    named = [("T", "P3", 1, 0), ("T", "P6", 2, 3), ("T", "P0", 1, 4), ("T", "lost", 1, 5), ("U", "P3", 1, 0), ("U", "P9", 1, 1), ("V", "lost", 1, 0), ("W", "P9", 1, 0)]
+    sf = tables(named_locations=(NAMED[0], named), coordinates=(SPOTS[0], [(t, *p, None) for t, p in spots.items()]))
+
+    def km(a, b):  # noqa: ANN001, ANN202
+        if a in ("lost", "P0") or b in ("lost", "P0"):
+            return None
+        (p, q), (r, s) = (map(math.radians, spots[x]) for x in (a, b))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return round(2 * 6371 * math.asin(math.sqrt(h)), 4)
+
+    rows = lambda name: [r.asDict() for r in entry.queries()[name](spark, sf).collect()]
+    got = {(r["title"], r["place_a"], r["place_b"]): r["km"] and round(r["km"], 4) for r in rows("haversine_pairs")}
+    assert got == {(t, a, b): km(a, b) for t, a, *_ in named for u, b, *_ in named if t == u and a < b} and len(got) == 7
+    assert km("P3", "P9") > 12000
+    assert {r["title"]: round(r["diameter"], 4) for r in rows("diameter_filter")} == {"T": km("P3", "P6"), "W": 0.0}
