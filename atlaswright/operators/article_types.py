@@ -112,8 +112,13 @@ def type_from_name(title: Column) -> Column:
     return F.when(F.lower(title).endswith("ship)") & ~no, "SHIP")
 
 
+def article_type(title: Column, raw: Column, clean: Column, categories: Column) -> Column:
+    """The first of the four rules that says something, else NONE."""
+    cats = F.coalesce(categories, F.array().cast("array<string>"))
+    return F.coalesce(type_from_categories(cats), type_from_infobox(raw), type_from_text(clean, cats), type_from_name(title), F.lit("NONE"))
+
+
 def article_types(pages: DataFrame) -> DataFrame:
     """``title, type`` from ``title, raw, clean, categories``: the first of the four rules that says something, else NONE."""
-    cats = F.coalesce("categories", F.array().cast("array<string>"))
-    kind = F.coalesce(type_from_categories(cats), type_from_infobox(F.col("raw")), type_from_text(F.col("clean"), cats), type_from_name(F.col("title")), F.lit("NONE"))
+    kind = article_type(F.col("title"), F.col("raw"), F.col("clean"), F.col("categories"))
     return pages.where("title is not null").select("title", kind.alias("type"))

@@ -15,12 +15,13 @@ from atlaswright.functions.readings import category_reading
 from atlaswright.functions.text import STOP_WORDS, article_title, irreducible, normal_title, occurrences, tokens, without_stop_words
 from atlaswright.functions.wikitext import clean_text, links, without_dropped_lines
 from atlaswright.operators import category_graph, category_stats, neighbors, signals, vectors, weights
-from atlaswright.operators.article_types import VARIANTS, type_from_categories
+from atlaswright.operators.article_types import VARIANTS, article_type, type_from_categories
 from atlaswright.operators.articles import assemble
 from atlaswright.operators.entities import located_names
 from atlaswright.operators.hierarchy import category_links
 from atlaswright.operators.proximity import current_positions
 from atlaswright.plans.core_queries import _POSITIONS, _reading, table
+from atlaswright.session import cut
 from atlaswright.sources.writers import vector_json
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +113,15 @@ def _dist(a: str, b: str) -> str:
     return f"(2 * 6371.0 * atan2(sqrt(least(1.0, {h})), sqrt(1 - least(1.0, {h}))))"
 
 
+def _types(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, title, type`` of every document with a title, and of titles that have categories only (without doc_id)."""
+    cats = _cats(spark, sf).groupBy("title").agg(F.collect_list("category").alias("categories"))
+    docs = _docs(spark, sf).where("title is not null").select("doc_id", "title", "text", "revised_at", clean_text(F.col("text"), F.col("title")).alias("clean"))
+    pages, _ = cut(docs.join(cats, "title", "full"), "pages")  # the cascade reads clean text many times
+    kind = article_type(F.col("title"), F.col("text"), F.col("clean"), F.col("categories"))
+    return pages.select("doc_id", "title", kind.alias("type"), "revised_at")
+
+
 # -- pages and text ------------------------------------------------------------------------------------
 
 _ARTICLE = "NOT regexp_matches(lower(title), 'wikipedia:|file:|portal:|template:|category:') AND NOT ends_with(regexp_replace(lower(title), '[\\s_]', '', 'g'), '(disambiguation)') AND NOT starts_with(regexp_replace(lower(title), '[\\s_]', '', 'g'), 'listof')"
@@ -341,7 +351,7 @@ def verified_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     FROM titles t LEFT JOIN pos ON pos.title = t.title LEFT JOIN c ON c.title = t.title LEFT JOIN l ON l.title = t.title LEFT JOIN w ON w.title = t.title""")
 def assemble_articles(spark: SparkSession, sf: str) -> DataFrame:
     locs, cats = _locations(spark, sf), _cats(spark, sf)
-    kinds = cats.groupBy("title").agg(F.collect_list("category").alias("c")).select("title", F.coalesce(type_from_categories(F.col("c")), F.lit("NONE")).alias("type"))
+    kinds = _types(spark, sf).groupBy("title").agg(F.max(F.struct("revised_at", "doc_id", "type"))["type"].alias("type"))
     empty = spark.createDataFrame([], "title string, location string, pos int")
     a = assemble(vectors.word_vectors(_counts(spark, sf)), _positions(spark, sf), locs, cats, kinds, empty.select("title", "location"), empty, vectors.location_vectors(locs))
     size = lambda c: F.size(c).cast("long")
@@ -492,6 +502,12 @@ def type_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("title", F.coalesce(type_from_categories(F.col("c")), F.lit("NONE")).alias("type"))
 
 
+@_query()
+def type_of_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cascade; ``type_cascade`` is its first rule."""
+    return _types(spark, sf).select("doc_id", "title", "type")
+
+
 @_query(f"WITH {_LOCS}, {_POSITIONS}, first AS (SELECT title, min_by(location, (ord, location)) AS location FROM locs GROUP BY title) SELECT title, location FROM first WHERE location IN (SELECT title FROM pos)")
 def located_at_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     """Pages made of each title's first location: the phrase is put before a link to it."""

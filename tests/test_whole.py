@@ -91,3 +91,17 @@ def test_distances_among_named_places(spark, tables):
     assert got == {(t, a, b): km(a, b) for t, a, *_ in named for u, b, *_ in named if t == u and a < b} and len(got) == 7
     assert km("P3", "P9") > 12000
     assert {r["title"]: round(r["diameter"], 4) for r in rows("diameter_filter")} == {"T": km("P3", "P6"), "W": 0.0}
+
+
+def test_types_of_documents(spark, tables):
+    docs = [
+        (1, "Byname", "X is a river in Y."), (2, "Boxed", "| settlement_type = Town\nX."), (3, "Said", "Said is an island near Y."), (4, "HMS_X_(ship)", "X."), (5, "Open", "X went."),
+        (6, "Said", "Said was a lake of Y."), (7, None, "It is a lake."), (8, "Bare", None), (9, "Left", "Left is a mountain near Y."),
+    ]
+    cats = [("Byname", "Towns_in_Y"), ("Only", "Rivers_of_Y"), ("Left", "Stubs")]
+    sf = tables(documents=("doc_id long, title string, text string, revised_at timestamp", [(*d, None) for d in docs]), categories=(CATS[0], cats))
+    got = {(r.doc_id, r.title): r.type for r in entry.queries()["type_of_articles"](spark, sf).collect()}
+    assert got == {
+        (1, "Byname"): "SETTLEMENT", (2, "Boxed"): "SETTLEMENT", (3, "Said"): "LAND", (4, "HMS_X_(ship)"): "SHIP", (5, "Open"): "NONE", (6, "Said"): "NATURE",
+        (8, "Bare"): "NONE", (9, "Left"): "NATURE", (None, "Only"): "NATURE",
+    }
