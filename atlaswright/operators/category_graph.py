@@ -15,15 +15,15 @@ def known_edges(links: DataFrame, names: DataFrame) -> DataFrame:
     return e.join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").join(known.withColumnRenamed("name", "child"), "child", "left_semi")
 
 
-def augmented_edges(edges: DataFrame, page_links: DataFrame, names: DataFrame, max_rounds: int = 50) -> DataFrame:
+def augmented_edges(edges: DataFrame, page_links: DataFrame, names: DataFrame) -> DataFrame:
     """Edges with those of category pages added: a page counts if it is a known name or has a known parent.
 
     ``page_links``: parent, child as found on pages of categories (child). A page that comes in makes its name known, so this repeats until
-    nothing new is known; the order of pages does not matter. Self-parents do not count.
+    nothing new is known (each round but the last makes a name known, so it ends); the order of pages does not matter. Self-parents do not count.
     """
-    pages = page_links.where("parent <> child").select("parent", "child").distinct()
+    pages, _ = cut(page_links.where("parent <> child").select("parent", "child").distinct(), "links")
     known, _ = cut(names.select("name").union(edges.select("parent")).union(edges.select("child")).distinct(), "known")
-    for _ in range(max_rounds):
+    while True:
         hit = pages.join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").select(F.col("child").alias("name")).distinct()
         new, _ = cut(hit.join(known, "name", "left_anti"), "new")
         if new.isEmpty():

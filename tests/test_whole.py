@@ -105,3 +105,12 @@ def test_types_of_documents(spark, tables):
         (1, "Byname"): "SETTLEMENT", (2, "Boxed"): "SETTLEMENT", (3, "Said"): "LAND", (4, "HMS_X_(ship)"): "SHIP", (5, "Open"): "NONE", (6, "Said"): "NATURE",
         (8, "Bare"): "NONE", (9, "Left"): "NATURE", (None, "Only"): "NATURE",
     }
+
+
+def test_augmentation_of_a_long_chain(spark):
+    from atlaswright.operators.category_graph import augmented_edges
+
+    chain = {(f"c{k}", f"c{k + 1}") for k in range(55)}
+    empty = spark.createDataFrame([], "parent string, child string")
+    got = augmented_edges(empty, spark.createDataFrame(sorted(chain), "parent string, child string"), spark.createDataFrame([("c0",)], "name string"))
+    assert {tuple(r) for r in got.collect()} == chain
