@@ -27,18 +27,22 @@ def term_weights(counts: DataFrame) -> DataFrame:
     records costs no more than any other; its rows meet their weight in a join that adaptive execution splits.
 
     ``counts`` has one row for each record and term with tf >= 1. With fewer than two records every global weight is 1.
+    The sum of tf * log(tf) is one of decimals, hence the same in any order of the rows: terms of equal counts get equal weights.
     """
     counts = counts.select("record", "term", "tf")
     n = counts.agg(F.count_distinct("record").cast("double").alias("n"))
     t = F.col("tf").cast("double")
-    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(t).alias("s"), F.sum(t * F.log(t)).alias("x"))
+    spread = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(t).alias("s"), F.sum((t * F.log(t)).cast("decimal(28,12)")).cast("double").alias("x"))
     entropy = F.log("s") - F.col("x") / F.col("s")
     glob = F.when(F.col("n") > 1, F.greatest(F.lit(0.0), 1 - entropy / F.log(F.when(F.col("n") > 1, F.col("n"))))).otherwise(1.0)
     spread = spread.join(F.broadcast(n)).select("term", "df", glob.alias("global_weight"))  # n is one row
     return counts.join(spread, "term").select("record", "term", "tf", "df", "global_weight", (F.log1p("tf") * F.col("global_weight")).alias("weight"))
 
 
-def leading_terms(weights: DataFrame) -> DataFrame:
-    """``record, term, weight``: the term of the greatest weight; ties go to the smaller term. Combines before the shuffle."""
-    key = F.struct((-F.col("weight")).alias("w"), F.col("term"))
-    return weights.groupBy("record").agg(F.min(key).alias("b")).select("record", F.col("b.term").alias("term"), (-F.col("b.w")).alias("weight"))
+def leading_terms(weights: DataFrame, places: int = 9) -> DataFrame:
+    """``record, term, weight``: the term of the greatest weight; weights equal to ``places`` places are a tie, which goes to the smaller term.
+
+    Combines before the shuffle.
+    """
+    key = F.struct((-F.round("weight", places)).alias("w"), F.col("term"), F.col("weight").alias("weight"))
+    return weights.groupBy("record").agg(F.min(key).alias("b")).select("record", F.col("b.term").alias("term"), F.col("b.weight").alias("weight"))
