@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ranking of each title."""
-    return candidate_ranking(table(spark, sf_dir, "neighbor_scores"))
+    return candidate_ranking(table(spark, sf_dir, "neighbor_scores")).withColumn("fused", F.round("fused", 9))
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +175,7 @@ def oracle_sql() -> dict[str, str]:
             linked AS (SELECT feature, t, count(*) AS c FROM (SELECT feature, title_a AS t FROM pairs UNION ALL SELECT feature, title_b FROM pairs) GROUP BY feature, t)
             SELECT s.feature, title, min(title) OVER (PARTITION BY s.feature, s) AS set_class, coalesce(c, 0) AS links FROM sets s LEFT JOIN linked l ON l.feature = s.feature AND l.t = title""",
         "p2_found": f"WITH {_FUSED} SELECT title, neighbor FROM one QUALIFY row_number() OVER (PARTITION BY title ORDER BY round(fused, 12) DESC, plain DESC, neighbor) = 1",
+        "p2_ranking": f"WITH {_FUSED} SELECT title, neighbor, round(fused, 9) AS fused, row_number() OVER (PARTITION BY title ORDER BY round(fused, 12) DESC, round(plain, 12) DESC, neighbor) AS rank FROM one",
         "p10_shares": f"""WITH {_WINDOWS}, got AS (SELECT doc_id, CAST(sum(least(150, coalesce(i - p, 150))) AS BIGINT) AS c FROM hit GROUP BY doc_id)
             SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(c, 0) AS shared_chars,
               CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(c, 0) / length(text), 6) ELSE 0 END AS shared_part FROM documents d LEFT JOIN got ON got.doc_id = d.doc_id""",

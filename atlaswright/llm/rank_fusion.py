@@ -5,95 +5,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from atlaswright.session import cut, forget
+
 MAD_TO_SD = 1.4826  # standard deviations in a median absolute deviation, for normal data
 MEAN_TO_SD = 1.2533  # the same for a mean absolute deviation
+MARGIN = 0.001  # of a group's rows on either side of the middle that are ordered exactly
+SKETCH = 10_000  # inverse of the rank error of the sketches that say where the middle lies
+PLACES = 12  # fused values equal to so many places are a tie
+
+
+def _brackets(rows: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """``g, salts, n_, lo_, hi_ (of each column)``: values between which each group's median lies, from sketches of bounded size."""
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    for c in columns:
+        at = F.percentile_approx(c, [0.5 - MARGIN, 0.5 + MARGIN], SKETCH)
+        aggs += [F.count(c).alias(f"n_{c}"), at[0].alias(f"lo_{c}"), at[1].alias(f"hi_{c}")]
+    return rows.groupBy("g").agg(*aggs).withColumn("salts", F.ceil(F.col("__n") / most)).drop("__n")
 
 
-def _bucket(v: Column) -> Column:
-    """An order-preserving coarse key of a double: sign, binary exponent and the mantissa's first 8 bits."""
-    a = F.abs(v)
-    e = F.when(a > 0, F.floor(F.log2(a))).otherwise(-2000)
-    m = F.when(a > 0, F.least(F.lit(255), F.greatest(F.lit(0), F.floor((a / F.pow(F.lit(2.0), e) - 1) * 256)))).otherwise(0)
-    return F.when(v == 0, 0).otherwise(F.signum(v) * ((e + 2000) * 256 + m + 1)).cast("long")
+def _spread(groups: DataFrame) -> DataFrame:
+    """A row of each group for each of its salts."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
 
 
-def exact_medians(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Exact median of ``value`` (occurring ``weight`` times) for each key: ``keys, median, total``.
+def exact_medians(rows: DataFrame, columns: list[str], brackets: DataFrame) -> DataFrame:
+    """``g, m_ (of each column)``: exact medians of each group; ``rows``: g, salt and the columns, in which nulls do not count.
 
-    A first aggregation counts values in order-preserving buckets and finds the bucket(s) with the
-    two middle ranks; only these buckets' distinct values are then ordered. So a key with a third of
-    all rows is never sorted in one task: at most the values of one bucket are, a 256th of an octave.
+    Rows meet their group's brackets on (group, salt). Values below a bracket are only counted (before the shuffle), values above it go, and the
+    values inside, a five-hundredth of a group, are ordered. A group with a third of all rows is never ordered as a whole,
+    whatever its values: brackets go by rank, not by value. Where a sketch missed the middle (its error is bounded, so none should), the
+    group's values are ordered whole.
     """
-    c = counts.groupBy(*keys, value).agg(F.sum(weight).alias("__w")).withColumn("__b", _bucket(F.col(value)))
-    hist = c.groupBy(*keys, "__b").agg(F.sum("__w").alias("__w"))
-    run = Window.partitionBy(*keys).orderBy("__b")
-    hist = hist.withColumn("__upto", F.sum("__w").over(run)).withColumn("__n", F.sum("__w").over(Window.partitionBy(*keys)))
-    lo, hi = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
-    start = F.col("__upto") - F.col("__w")
-    hit = hist.where(((lo > start) & (lo <= F.col("__upto"))) | ((hi > start) & (hi <= F.col("__upto"))))
-    hit = hit.select(*keys, "__b", start.alias("__start"), lo.alias("__lo"), hi.alias("__hi"), "__n")
-    inner = Window.partitionBy(*keys, "__b").orderBy(value)
-    v = c.join(hit, [*keys, "__b"]).withColumn("__upto", F.col("__start") + F.sum("__w").over(inner))
-    start, upto = F.col("__upto") - F.col("__w"), F.col("__upto")
-    at = lambda r: F.max(F.when((F.col(r) > start) & (F.col(r) <= upto), F.col(value)))
-    return v.groupBy(*keys).agg(((at("__lo") + at("__hi")) / 2).alias("median"), F.max("__n").alias("total"))
+    spark = rows.sparkSession
+    met = rows.join(_spread(brackets), ["g", "salt"])
+
+    def entry(k: int, c: str) -> Column:
+        v = F.col(c)
+        side = F.when(v < F.col(f"lo_{c}"), F.struct(F.lit(k).alias("k"), F.col(f"n_{c}").alias("n"), F.lit(0).alias("in"), F.lit(None).cast("double").alias("v")))
+        return side.when(v <= F.col(f"hi_{c}"), F.struct(F.lit(k).alias("k"), F.col(f"n_{c}").alias("n"), F.lit(1).alias("in"), v.alias("v")))
+
+    def middles(entries: DataFrame) -> DataFrame:
+        c = entries.groupBy("g", "e.k", "e.n", "e.in", "e.v").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("g", "k").orderBy("in", "v"))
+        c = c.withColumn("upto", upto).withColumn("start", F.col("upto") - F.col("c")).where("in = 1")
+        lo, hi = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+        at = lambda r: F.max(F.when((r > F.col("start")) & (r <= F.col("upto")), F.col("v")))
+        mid = (at(lo) + at(hi)) / 2
+        return c.groupBy("g", "k").agg(F.max("n").alias("n"), mid.alias("m"))
+
+    one = met.select("g", F.explode(F.array_compact(F.array(*[entry(k, c) for k, c in enumerate(columns)]))).alias("e"))
+    long, _ = cut(middles(one).where("m is not null"), "medians")
+    due = brackets.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n_{c}").alias("n")) for k, c in enumerate(columns)])).alias("e"))
+    missed = due.where("e.n > 0").select("g", "e.k").join(long, ["g", "k"], "left_anti")
+    if not missed.isEmpty():
+        every = rows.join(_spread(brackets).select("g", "salt", *[f"n_{c}" for c in columns]), ["g", "salt"])
+        every = every.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"n_{c}").alias("n"), F.lit(1).alias("in"), F.col(c).alias("v")) for k, c in enumerate(columns)])).alias("e"))
+        every = every.where("e.v is not null").join(missed.select("g", F.col("k").alias("__k")), "g").where("e.k = __k")
+        long, _ = cut(long.unionByName(middles(every)), "medians")
+    return long.groupBy("g").agg(*[F.max(F.when(F.col("k") == k, F.col("m"))).alias(f"m_{c}") for k, c in enumerate(columns)])
 
 
 def _rank(scored: DataFrame) -> DataFrame:
-    """Ranks of a whole group, without ordering it in one task: rows of better buckets are counted, own ones ordered."""
-    b = scored.withColumn("b", _bucket(-F.col("fused")))
-    hist = b.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"))
-    run = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("before", F.coalesce(F.sum("c").over(run), F.lit(0))).select("g", "b", "before")
-    inner = Window.partitionBy("g", "b").orderBy(F.desc("fused"), F.desc("plain"), "i")
-    return b.join(hist, ["g", "b"]).withColumn("rank", F.col("before") + F.row_number().over(inner))
+    """Ranks of whole groups: all rows are range-partitioned in rank order, so a group of any size, of any values, spreads over many tasks.
 
-
-def fuse_scores(rows: DataFrame, group: str, item: str, scores: dict[str, float], keep: int | None = None, salts: int = 32) -> DataFrame:
+    A row's rank is its place in its partition, less those of other groups before it, plus its group's rows in earlier partitions.
+    """
+    spark = scored.sparkSession
+    scored, _ = cut(scored, "scored")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = [F.col("g"), F.desc("key"), F.desc("second"), F.col("i")]
+    ranged = scored.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
+    ranged, _ = cut(ranged, "ranged")
+    heads = ranged.groupBy("g", "p").agg(F.min("m").alias("first"), F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("g").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # at most one row a partition
+    heads = heads.select("g", "p", "first", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    return ranged.join(heads, ["g", "p"]).withColumn("rank", F.col("before") + F.col("m") - F.col("first") + 1)
+
+
+def fuse_scores(rows: DataFrame, group: str, item: str, scores: dict[str, float], keep: int | None = None, most: int = 20_000) -> DataFrame:
     """``group, item, fused, rank``: each group's items in one order by several scores together.
 
     Every score is standardised within its group by median and median absolute deviation (where
     that is 0, by the mean absolute deviation; where all values agree, to 0), squashed by the logistic
     function, so that no outlier counts for more than 1, and the squashed values are combined by a
     geometric mean weighted with ``scores``. ``fused`` is that mean's logarithm, which keeps apart
-    what the mean itself would round to 1. Ties: higher sum of standardised scores, then the smaller item.
+    what the mean itself would round to 1. Values equal to twelve places are a tie, so the order of the rows decides nothing.
+    Ties: higher sum of standardised scores (to twelve places, too), then the smaller item.
 
     A null or NaN score ranks below any number: an item's number of missing scores (weighted) comes
     before anything else would, as its squashed value is below that of every number. Equal rows count once; several
     rows of one item keep that item's highest fused value. Rows with a null group or item, or an item that is its
     own group, do not count. With ``keep``, only the first ``keep`` of each group are ranked and returned (each task
-    keeps no more); without it whole groups are, in buckets of the fused score. Groups spread over ``salts`` tasks.
+    keeps no more); without it whole groups are, in range partitions. Groups of more than ``most`` rows spread over several tasks.
     """
     total = sum(scores.values())
     if total <= 0 or min(scores.values()) < 0:
         raise ValueError("weights must not be negative, and one must be positive")
-    names = list(scores)
-    base = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"x{k}") for k, c in enumerate(names)])
-    base = base.where("g is not null and i is not null and g <> i").distinct()
-    long = base.select("g", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("v")) for k in range(len(names))])).alias("c")).select("g", "c.k", "c.v")
-    values = long.where("v is not null").groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("n"))
-    med = exact_medians(values, ["g", "k"], "v", "n").select("g", "k", "median")
-    off = values.join(med, ["g", "k"]).select("g", "k", F.abs(F.col("v") - F.col("median")).alias("d"), "n")
-    mad = exact_medians(off, ["g", "k"], "d", "n").select("g", "k", F.col("median").alias("mad"))
-    mean = off.groupBy("g", "k").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean"))
-    scale = F.when(F.col("mad") > 0, F.col("mad") * MAD_TO_SD).when(F.col("mean") > 0, F.col("mean") * MEAN_TO_SD)
-    stats = med.join(mad, ["g", "k"]).join(mean, ["g", "k"]).select("g", "k", "median", scale.alias("scale"))
-    pick = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    wide = stats.groupBy("g").agg(*[pick("median", k).alias(f"m{k}") for k in range(len(names))], *[pick("scale", k).alias(f"s{k}") for k in range(len(names))])
-    wide = wide.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    met = base.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts))).join(wide, ["g", "salt"], "left")
+    spark = rows.sparkSession
+    xs = [f"x{k}" for k in range(len(scores))]
+    ds = [f"d{k}" for k in range(len(scores))]
+    base = rows.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(x) for x, c in zip(xs, scores)])
+    base, base_at = cut(base.where("g is not null and i is not null and g <> i").distinct(), "base")
+    near, _ = cut(_brackets(base, xs, most), "near")
+    salt = F.pmod(F.xxhash64("i"), F.coalesce("salts", F.lit(1)))
+    salted = base.join(near.where("salts > 1").select("g", "salts"), "g", "left").withColumn("salt", salt).drop("salts")
+    med = near.select("g", "salts").join(exact_medians(salted, xs, near), "g", "left")
+    med, _ = cut(med, "middle")
+
+    away = salted.join(_spread(med), ["g", "salt"]).select("g", "i", "salt", *[F.abs(F.col(x) - F.col(f"m_{x}")).alias(d) for x, d in zip(xs, ds)])
+    means = away.groupBy("g").agg(*[F.avg(d).alias(f"mean_{d}") for d in ds])
+    off, _ = cut(_brackets(away, ds, most).join(means, "g"), "off")
+    mad = exact_medians(away, ds, off.drop(*[f"mean_{d}" for d in ds]))
+    wide = med.join(off.select("g", *[f"mean_{d}" for d in ds]), "g", "left").join(mad, "g", "left")
+    for x, d in zip(xs, ds):
+        m, mean = F.col(f"m_{d}"), F.col(f"mean_{d}")
+        wide = wide.withColumn(f"s_{x}", F.when(m > 0, m * MAD_TO_SD).when(mean > 0, mean * MEAN_TO_SD))
+    met = salted.join(_spread(wide.select("g", "salts", *[f"{a}_{x}" for x in xs for a in "ms"])), ["g", "salt"], "left")
 
     fused, plain = F.lit(0.0), F.lit(0.0)
-    for k, c in enumerate(names):
-        x = F.col(f"x{k}")
-        z = F.when(F.col(f"s{k}") > 0, (x - F.col(f"m{k}")) / F.col(f"s{k}")).otherwise(0.0)
+    for x, c in zip(xs, scores):
+        v, s = F.col(x), F.col(f"s_{x}")
+        z = F.when(s > 0, (v - F.col(f"m_{x}")) / s).otherwise(0.0)
         z = F.least(F.lit(600.0), F.greatest(F.lit(-600.0), z))
         squashed = F.when(z > -30, -F.log1p(F.exp(-z))).otherwise(z)  # log of the logistic function
-        fused = fused + scores[c] / total * F.when(x.isNull(), -700.0).otherwise(squashed)
-        plain = plain + scores[c] / total * F.when(x.isNull(), -700.0).otherwise(z)
-    scored = met.select("g", "i", fused.alias("fused"), plain.alias("plain")).groupBy("g", "i").agg(F.max(F.struct("fused", "plain")).alias("f")).select("g", "i", "f.fused", "f.plain")
+        fused = fused + scores[c] / total * F.when(v.isNull(), -700.0).otherwise(squashed)
+        plain = plain + scores[c] / total * F.when(v.isNull(), -700.0).otherwise(z)
+    scored = met.select("g", "i", fused.alias("fused"), plain.alias("plain")).select("g", "i", F.struct(F.round("fused", PLACES).alias("key"), F.round("plain", PLACES).alias("second"), "fused").alias("f"))
+    scored = scored.groupBy("g", "i").agg(F.max("f").alias("f")).select("g", "i", "f.key", "f.second", "f.fused")
     if keep:
-        w = Window.partitionBy("g").orderBy(F.desc("fused"), F.desc("plain"), "i")
+        w = Window.partitionBy("g").orderBy(F.desc("key"), F.desc("second"), "i")
         ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= keep)
     else:
         ranked = _rank(scored)

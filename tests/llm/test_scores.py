@@ -8,17 +8,24 @@ import pytest
 from pyspark.sql import functions as F
 
 from atlaswright.llm.distinctive import leading_terms, term_weights, usable_counts
-from atlaswright.llm.rank_fusion import candidate_ranking, exact_medians, fuse_scores
+from atlaswright.llm.rank_fusion import _brackets, candidate_ranking, exact_medians, fuse_scores
 from atlaswright.llm.top_n import kept_neighbors, top_n
 
 
 def test_exact_medians(spark):
     r = random.Random(1)
-    rows = [(k, r.choice([0.0, -1.5, 2.0, r.gauss(0, 5), r.gauss(0, 1e-6), r.gauss(1e9, 1)])) for k in ["a", "b", "c"] for _ in range(r.randint(1, 200))] + [("one", 7.0)]
-    df = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    got = {x.k: (x.median, x.total) for x in exact_medians(df, ["k"], "v", "n").collect()}
-    want = {k: (statistics.median([v for q, v in rows if q == k]), sum(q == k for q, _ in rows)) for k in {q for q, _ in rows}}
-    assert {k: (round(m, 9), n) for k, (m, n) in got.items()} == {k: (round(m, 9), n) for k, (m, n) in want.items()}
+    rows = [(k, r.choice([0.0, -1.5, 2.0, r.gauss(0, 5), r.gauss(0, 1e-6), r.gauss(1e9, 1)]), r.random() if r.random() < 0.5 else None) for k in ["a", "b", "c"] for _ in range(r.randint(1, 200))]
+    rows += [("one", 7.0, None)] + [("offset", 1e9 + r.random(), 3.0) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    near = _brackets(df, ["x", "y"], 500)
+    assert {x.g: x.salts for x in near.collect()}["offset"] == 6
+    salted = df.join(near.select("g", "salts"), "g").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).drop("salts")
+    narrow = near.withColumn("hi_x", F.col("lo_x") - 1)  # as if a sketch had missed the middle
+    for brackets in (near, narrow):
+        got = {x.g: (x.m_x, x.m_y) for x in exact_medians(salted, ["x", "y"], brackets).collect()}
+        mid = lambda v: statistics.median(v) if v else None
+        want = {k: (mid([x for q, x, _ in rows if q == k]), mid([y for q, _, y in rows if q == k and y is not None])) for k in {q for q, *_ in rows}}
+        assert {k: tuple(v and round(v, 9) for v in m) for k, m in got.items()} == {k: tuple(v and round(v, 9) for v in m) for k, m in want.items()}
 
 
 def plain_fusion(rows):
@@ -88,8 +95,8 @@ def test_term_weights(spark):
     assert leading_terms(term_weights(counts.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize(("n", "bins"), [(3, 8), (10, 256), (1, 2)])
-def test_top_n(spark, n, bins):
+@pytest.mark.parametrize("n", [3, 10, 1, 40])
+def test_top_n(spark, n):
     r = random.Random(n)
     rows = [("hot", f"i{r.randint(0, 900):03}", r.choice([0.5, 0.25, round(r.random(), 2)])) for _ in range(3000)] + [(f"g{k % 40}", f"i{k}", r.random()) for k in range(200)]
     rows += [("ties", f"i{k:03}", 0.5) for k in range(300)] + [("hot", None, 1.0), (None, "i", 1.0), ("hot", "nan", math.nan), ("hot", "null", None), ("neg", "a", -1.0)]
@@ -102,7 +109,7 @@ def test_top_n(spark, n, bins):
         if len(want.setdefault(g, [])) < n:
             want[g].append((i, s))
     got = {}
-    for x in top_n(spark.createDataFrame(rows, "g string, i string, s double"), "g", "i", "s", n, bins, salts=3).orderBy("g", "rank").collect():
+    for x in top_n(spark.createDataFrame(rows, "g string, i string, s double"), "g", "i", "s", n, salts=3).orderBy("g", "rank").collect():
         got.setdefault(x.g, []).append((x.i, x.s))
         assert x["rank"] == len(got[x.g])
     assert got == want
@@ -120,3 +127,28 @@ def test_clashing_columns(spark):
     assert {r.record: r.df for r in term_weights(counts).collect()} == {"A": 1, "B": 1}
     scores = spark.createDataFrame([("t", "i", 1.0, 2.0, 3.0, 4, 5.0)], "title string, neighbor string, tf_idf double, named_locations double, categories double, rank int, fused double")
     assert candidate_ranking(scores).first()["rank"] == 1
+
+
+def test_order_of_rows_decides_nothing(spark):
+    r = random.Random(5)
+    words = [(f"R{k}", t, n) for k in range(60) for t, n in ((f"a{k % 12}", k % 5 + 1), (f"b{k % 12}", k % 5 + 1))]  # a and b have equal counts everywhere
+    scores = [(f"t{k % 3}", f"i{k % 40:02}", float(r.randint(0, 3)), float(r.randint(0, 3)), 1.0) for k in range(240)]
+    seen = set()
+    for parts in (1, 3, 7):
+        w = spark.createDataFrame(r.sample(words, len(words)), "title string, word string, tf int").repartition(parts)
+        lead = sorted(map(tuple, leading_terms(term_weights(usable_counts(w))).select("record", "term").collect()))
+        assert all(t.startswith("a") for _, t in lead)
+        s = spark.createDataFrame(r.sample(scores, len(scores)), "title string, neighbor string, tf_idf double, named_locations double, categories double").repartition(parts)
+        seen.add((tuple(lead), tuple(map(tuple, candidate_ranking(s).orderBy("title", "rank").select("title", "neighbor", "rank").collect()))))
+    assert len(seen) == 1
+
+
+def test_pruning_by_histogram(spark):
+    r = random.Random(6)
+    rows = [("one", f"i{k % 500:03}", r.random()) for k in range(4000)] + [("one", "far", 1e12)]  # repeated items and one outlier
+    df = spark.createDataFrame(rows, "g string, i string, s double").repartition(3)
+    best = {}
+    for _, i, s in rows:
+        best[i] = max(s, best.get(i, s))
+    got = [x.i for x in top_n(df, "g", "i", "s", 10).orderBy("rank").collect()]
+    assert got == sorted(best, key=lambda i: (-best[i], i))[:10]
