@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.llm.tokens import TOKENIZER, count_tokens
+from atlaswright.session import cut
 
 
 def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
@@ -57,58 +58,33 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, shard_tokens: int = 16_000_000, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``container, doc_id, part, n_tokens, is_split``: every text in containers of ``capacity`` tokens.
+    """``container, doc_id, part, start, end, n_tokens, is_split``: every text in containers of ``capacity`` tokens.
 
-    A text longer than a container is cut into full parts and a rest (numbered by ``part``); no other text is split.
-    Parts and texts are packed best-fit decreasing, in shards of about ``shard_tokens`` tokens: a shard is filled with
+    A text longer than a container is cut, at the ends of the tokenizer's pieces where that goes, into parts that nearly fill one each and a rest
+    (numbered by ``part``); no other text is split. ``start`` and ``end`` are a row's characters (code points) in its text: a text's parts in order
+    are the text. Parts and texts are packed best-fit decreasing, in shards of about ``shard_tokens`` tokens: a shard is filled with
     thousands of containers, so closing its last ones costs next to nothing, and no task ever holds
-    more than a shard's lengths. Full parts need no packing and get containers of their own.
-    Shards are hashes of ``doc_id``, so a task that runs again gives the same result.
+    more than a shard's lengths. Shards are hashes of ``doc_id`` and ``part``, so a task that runs again gives the same result, and
+    a text of any length spreads. Texts are read once; lengths and offsets are written to the scratch folder.
 
-    Null, empty and blank texts of 0 tokens take no container and give no row. Texts that occur under
+    Null and empty texts, of 0 tokens, take no container and give no row. Texts that occur under
     several ids are packed each; rows with a null id are dropped. Rows that repeat an id are packed each, like different texts.
     """
-    counts = count_tokens(docs.where("doc_id is not null"), tokenizer=tokenizer).where("n_tokens > 0")
-    shards = _shards(docs, shard_tokens)
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
+    read = docs.where("doc_id is not null").select("doc_id", "text", F.length("text").alias("chars"))
+    counts, _ = cut(count_tokens(read, keep=["chars"], tokenizer=tokenizer, size=capacity).where("n_tokens > 0"), "tokens")
+    shards = max(1, round((counts.agg(F.sum("n_tokens")).first()[0] or 0) / shard_tokens))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("chars").alias("end"), F.col("n_tokens").cast("int").alias("tokens")))
+    items = counts.select("doc_id", F.col("parts").isNotNull().alias("is_split"), F.posexplode(F.coalesce("parts", whole)).alias("part", "p"))
+    shard = F.pmod(F.xxhash64("doc_id", "part"), F.lit(shards)).cast("int")
+    items = items.select(shard.alias("shard"), "doc_id", "part", "p.start", "p.end", F.col("p.tokens").cast("long").alias("n_tokens"), "is_split")
 
     def packed(_, pdf):  # noqa: ANN001, ANN202
-        return _pack_shard(pdf, capacity)
+        pdf = pdf.sort_values(["doc_id", "part", "end"], kind="stable")
+        where, _ = best_fit_decreasing(pdf["n_tokens"].tolist(), capacity)
+        pdf["container"] = [f"{s}-{b}" for s, b in zip(pdf["shard"], where)]
+        return pdf[["container", "doc_id", "part", "start", "end", "n_tokens", "is_split"]]
 
-    return counts.select(shard.alias("shard"), "doc_id", "n_tokens").groupBy("shard").applyInPandas(
-        packed, "container string, doc_id bigint, part int, n_tokens bigint, is_split boolean"
-    )
-
-
-def _shards(docs: DataFrame, shard_tokens: int) -> int:
-    """Number of shards from the text's bytes (about four to a token); one light aggregation."""
-    chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, round(chars / 4 / shard_tokens))
-
-
-def _pack_shard(pdf, capacity: int):  # noqa: ANN001, ANN202
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values("doc_id", kind="stable")
-    ids, n, shard = pdf["doc_id"].to_numpy(), pdf["n_tokens"].to_numpy(), int(pdf["shard"].iloc[0])
-    full = n // capacity
-    rest = n - full * capacity
-    whole = np.repeat(np.arange(len(n)), full)
-    part = np.concatenate([np.arange(f) for f in full[full > 0]]) if len(whole) else np.zeros(0, int)
-    small = np.flatnonzero(rest)
-    where, _ = best_fit_decreasing(rest[small].tolist(), capacity)
-    idx = np.concatenate([whole, small])
-    names = [f"{shard}-f{k}" for k in range(len(whole))] + [f"{shard}-{b}" for b in where]
-    return pd.DataFrame(
-        {
-            "container": names,
-            "doc_id": ids[idx],
-            "part": np.concatenate([part, full[small]]).astype("int32"),
-            "n_tokens": np.concatenate([np.full(len(whole), capacity), rest[small]]).astype("int64"),
-            "is_split": n[idx] > capacity,
-        }
-    )
+    return items.groupBy("shard").applyInPandas(packed, "container string, doc_id bigint, part int, start int, end int, n_tokens bigint, is_split boolean")
 
 
 def container_report(packed: DataFrame, capacity: int = 2048) -> DataFrame:
