@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from atlaswright.session import cut
 
 @dataclass
 class Mixture:
-    """``drawn(shard, slot, source, use, doc_id, n_tokens)`` and ``report``, one row for each listed source."""
+    """``drawn(shard, slot, source, use, doc_id, from_token, to_token, n_tokens)`` and ``report``, one row for each listed source."""
 
     drawn: DataFrame
     report: DataFrame
@@ -42,40 +43,74 @@ def permuted(index, n: int, key: int):  # noqa: ANN001, ANN201
     return out.astype("int64")
 
 
-def _draws(shards: int, per_shard: int, sources: list[tuple[str, int]], seed: int):  # noqa: ANN202
-    """Multinomial source counts of each output shard."""
-
-    def draw(batches: Iterator):  # noqa: ANN202
-        import numpy as np
-        import pandas as pd
-
-        p = np.array([c for _, c in sources], float)
-        p = p / p.sum()
-        for pdf in batches:
-            rows = []
-            for shard in pdf["id"]:
-                counts = np.random.default_rng([seed, int(shard)]).multinomial(per_shard, p)
-                rows += [(int(shard), s, int(c)) for (s, _), c in zip(sources, counts) if c]
-            yield pd.DataFrame(rows, columns=["shard", "source", "c"])
-
-    return draw
-
-
-def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 16_384, per_shard: int = 64, buckets: int = 256, seed: int = 7, tokenizer: str = TOKENIZER) -> Mixture:
-    """Draw documents so that each listed source has its ``target_share`` of as many tokens as all its documents have together.
-
-    Within each source, documents are laid out in hashed order and their tokens divided into blocks of
-    ``block_tokens``; a document belongs to the block in which it starts. For every output shard a multinomial
-    draw says how many of its slots each source gets; a source's running slot number goes, pass after pass, through
-    that source's pseudorandom permutation of its blocks, and the drawn block numbers are joined with the documents.
-    Draws beyond a source's due number of slots are left out and missing ones added in a closing shard, so the
-    shares hold up to one block. No block is drawn more than ``max_repeats`` times, hence no document is: a source that
-    cannot reach its share (tokens * max_repeats < target_share * all tokens) is used as often as allowed and
-    reported with ``reachable`` false; the others still get their due of the intended total.
+def split_counts(counts: list[int], take: int, key: list[int]) -> list[int]:
+    """How many of ``take`` draws without replacement from an urn of ``counts`` are of each kind, from a seed of its own."""
+    import numpy as np
 
-    The report has available, target, drawn tokens, drawn share and greatest use of each source. ``targets`` is a parameter table
-    (a row for each source), read by the driver; documents, tokens and slots stay distributed, and a
-    source of any size is spread over ``buckets`` and blocks. ``source`` counts without outer blanks and in lower case.
+    rng, left, out = np.random.default_rng(key), sum(counts), []
+    for c in counts:
+        rest = left - c
+        if left >= 10**9:  # beyond what the exact sampler takes: the normal limit, kept within what is possible
+            mean = take * c / left
+            k = round(rng.normal(mean, (mean * (rest / left) * (left - take) / (left - 1)) ** 0.5))
+            k = min(max(k, take - rest, 0), c, take)
+        else:
+            k = int(rng.hypergeometric(c, rest, take))
+        out.append(k)
+        take, left = take - k, rest
+    return out
+
+
+def shard_counts(shard: int, shards: int, per_shard: int, due: list[int], seed: int) -> tuple[list[int], list[int]]:
+    """(counts, first slots) of each source in one output shard.
+
+    Multinomial draws of all shards, given that they add up to what is due of each source: the due counts are split in two
+    again and again, down to single shards. A shard follows its own branch, so it needs no other shard's draw.
+    """
+    lo, hi, first = 0, shards, [0] * len(due)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = split_counts(due, min(sum(due), (mid - lo) * per_shard), [seed, lo, hi])
+        if shard < mid:
+            due, hi = left, mid
+        else:
+            first = [f + k for f, k in zip(first, left)]
+            due, lo = [d - k for d, k in zip(due, left)], mid
+    return due, first
+
+
+def _due(tokens: int, target: float, most: int, block: int) -> int:
+    """Slots of a source: whole passes through its blocks, then as many full blocks as come nearest to the target."""
+    if not tokens or not most:
+        return 0
+    blocks = -(-tokens // block)
+    passes = min(int(target // tokens), most)
+    slots, rest = passes * blocks, target - passes * tokens
+    if passes < most and rest > 0:
+        some = min(round(rest / block), blocks - 1)
+        # the pass as a whole, with its shorter last block, may come nearer
+        slots += blocks if abs(tokens - rest) < abs(some * block - rest) else some
+    return slots
+
+
+def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 2048, per_shard: int = 512, per_bucket: int = 20_000, seed: int = 7, tokenizer: str = TOKENIZER) -> Mixture:
+    """Draw tokens so that each listed source has its ``target_share`` of as many tokens as all its documents have together.
+
+    Within each source, documents stand one after the other in hashed order, and their tokens are cut into blocks of exactly
+    ``block_tokens`` (only a source's last block is shorter): a block goes across documents, and a drawn row is the part [from_token, to_token) of
+    a document that lies in a drawn block. Every output shard has a multinomial draw of how many of its ``per_shard`` slots each source gets, given
+    what is due of each source in all. A source's slots go, pass after pass, through
+    a pseudorandom permutation of its full blocks and then its last one; the block numbers are joined with the parts. So a source that can reach
+    its target is within half a block of it, at any scale.
+
+    No block is drawn more than ``max_repeats`` times, hence no token is: a source that
+    cannot reach its share (tokens * max_repeats < target_share * all tokens) is used up, as often as allowed, and
+    reported as ``exhausted`` and not ``reachable``; the others still get their due of the intended total. Then the drawn total is smaller than
+    intended: ``share_of_intended`` is the share of all tokens of listed sources, ``drawn_share`` that of the drawn ones.
+
+    ``targets`` is a parameter table (a row for each source), read by the driver with one sum of tokens for each; documents, tokens and slots stay
+    distributed. Documents are placed by running sums of buckets (ranges of the hash, about ``per_bucket`` documents each, as many as the source
+    needs), of a thousand buckets together, and inside a bucket. ``source`` counts without outer blanks and in lower case.
     Documents of no listed source, without id or without tokens are not drawn; a null share is 0, null or negative ``max_repeats`` 0;
     a source listed twice counts once, with its largest values.
     """
@@ -86,57 +121,67 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 16_384,
     names = [s for s, _, _ in listed]
     read = docs.where("doc_id is not null").withColumn("__source", source_reading(F.col("source"))).where(F.col("__source").isin(names)).select("doc_id", "text", F.col("__source").alias("source"))
     counts, _ = cut(count_tokens(read, keep=["source"], tokenizer=tokenizer).where("n_tokens > 0"), "tokens")
-    tokens = {r["source"]: r["t"] for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    have = {r["source"]: (r["t"], r["n"]) for r in counts.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    tokens = {s: have.get(s, (0, 0))[0] for s in names}
     total = sum(tokens.values())
+    blocks = {s: -(-tokens[s] // block_tokens) for s in names}
+    due = {s: _due(tokens[s], share * total, most, block_tokens) for s, share, most in listed}
+    shards = -(-sum(due.values()) // per_shard)
+    facts = [(s, float(share), most, tokens[s], total, due[s], max(1, have.get(s, (0, 0))[1] // per_bucket)) for s, share, most in listed]
+    facts = spark.createDataFrame(facts, "source string, target_share double, max_repeats long, tokens long, total long, due long, buckets long")
+
+    # documents to tokens: running sums of a thousand buckets, of buckets and inside a bucket
+    placed = counts.join(F.broadcast(facts.select("source", "buckets")), "source").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))  # a row for each listed source
+    placed = placed.withColumn("bucket", F.least(F.col("buckets") - 1, F.floor((F.shiftrightunsigned("h", 1) / float(1 << 63)) * F.col("buckets"))).cast("long"))
+    sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t")).withColumn("above", F.floor(F.col("bucket") / 1000))
+    ahead = lambda by, order: F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy("source", "above").agg(F.sum("t").alias("t")).withColumn("t0", ahead(["source"], ["above"])).drop("t")
+    sums = sums.withColumn("t1", ahead(["source", "above"], ["bucket"])).join(tops, ["source", "above"]).select("source", "bucket", (F.col("t0") + F.col("t1")).alias("start"))
+    order = [F.shiftrightunsigned("h", 1), "doc_id", "n_tokens"]
+    placed = placed.withColumnRenamed("n_tokens", "t").withColumn("n_tokens", F.col("t")).withColumn("ahead", ahead(["source", "bucket"], order)).join(sums, ["source", "bucket"])
+    at = placed.select("source", "doc_id", "n_tokens", (F.col("start") + F.col("ahead")).alias("at"))
+    cuts = F.sequence(F.floor(F.col("at") / block_tokens), F.floor((F.col("at") + F.col("n_tokens") - 1) / block_tokens))
+    parts = at.withColumn("block", F.explode(cuts))
+    start = F.greatest(F.lit(0).cast("long"), F.col("block") * block_tokens - F.col("at"))
+    end = F.least(F.col("n_tokens"), (F.col("block") + 1) * block_tokens - F.col("at"))
+    parts = parts.select("source", "block", "doc_id", start.alias("from_token"), end.alias("to_token"))
+
+    chosen = _chosen(spark, shards, per_shard, [(s, due[s], blocks[s]) for s in names if due[s]], seed)
+    drawn = chosen.join(parts, ["source", "block"]).select("shard", "slot", "source", "use", "doc_id", "from_token", "to_token", (F.col("to_token") - F.col("from_token")).alias("n_tokens"))
 
-    blocks = {s: -(-tokens.get(s, 0) // block_tokens) for s in names}
-    due = {s: min(blocks[s] * most, round(share * total * blocks[s] / tokens[s])) if blocks[s] else 0 for s, share, most in listed}
-    slots = sum(due.values())
-    shards = -(-slots // per_shard) if slots else 0
-
-    # documents to blocks: running token sums, first of buckets, then inside each
-    h = F.xxhash64("doc_id", F.lit(seed))
-    placed = counts.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("t"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("source", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, ["source", "bucket"])
-    placed = placed.select("source", "doc_id", "n_tokens", F.floor((F.col("start") + F.col("ahead")) / block_tokens).alias("block"))
-
-    schema = "shard long, source string, c int"
-    drawn_counts = spark.range(shards).mapInPandas(_draws(shards, per_shard, [(s, due[s]) for s in names if due[s]], seed), schema) if slots else spark.createDataFrame([], schema)
-    owed = spark.createDataFrame([(s, due[s], blocks[s]) for s in names], "source string, due long, blocks long")
-    run = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    drawn_counts = drawn_counts.withColumn("first", F.coalesce(F.sum("c").over(run), F.lit(0)))
-    ends = drawn_counts.groupBy("source").agg(F.sum("c").alias("got"))
-    top_up = owed.join(ends, "source", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("due > got")
-    top_up = top_up.select(F.lit(shards).cast("long").alias("shard"), "source", (F.col("due") - F.col("got")).alias("c"), F.col("got").alias("first"))
-    order = drawn_counts.select("shard", "source", F.col("c").cast("long").alias("c"), "first").unionByName(top_up).join(owed, "source")
-    order = order.withColumn("c", F.least("c", F.col("due") - F.col("first"))).where("c > 0")
-    slot = order.select("shard", "source", "blocks", F.explode(F.sequence("first", F.col("first") + F.col("c") - 1)).alias("slot"))
-
-    def choose(batches):  # noqa: ANN001, ANN202
-        import numpy as np
-        import zlib
-
-        for pdf in batches:
-            use = pdf["slot"] // pdf["blocks"]
-            at = np.zeros(len(pdf), "int64")
-            for (s, n, u), rows in pdf.assign(use=use).groupby(["source", "blocks", "use"]).indices.items():
-                key = zlib.crc32(f"{seed}/{s}/{u}".encode())
-                at[rows] = permuted((pdf["slot"].to_numpy()[rows] % n), int(n), key)
-            yield pdf.assign(use=use + 1, block=at)[["shard", "slot", "source", "use", "block"]]
-
-    chosen = slot.mapInPandas(choose, "shard long, slot long, source string, use long, block long")
-    drawn = chosen.join(placed, ["source", "block"]).select("shard", "slot", "source", "use", "doc_id", "n_tokens")
-
-    have = spark.createDataFrame([(s, float(share), most, tokens.get(s, 0), total) for s, share, most in listed], "source string, target_share double, max_repeats long, tokens long, total long")
     sums = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("use").alias("uses"))
-    report = have.join(sums, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0))).withColumn("all", F.sum("drawn_tokens").over(Window.partitionBy()))
+    report = facts.join(sums, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0))).withColumn("all", F.sum("drawn_tokens").over(Window.partitionBy()))
+    target = F.col("target_share") * F.col("total")
+    share = lambda of: F.when(F.col(of) > 0, F.col("drawn_tokens") / F.col(of))
     report = report.select(
-        "source", "target_share", "max_repeats", "tokens", (F.col("target_share") * F.col("total")).alias("target_tokens"), "drawn_tokens",
-        F.when(F.col("all") > 0, F.col("drawn_tokens") / F.col("all")).alias("drawn_share"), F.coalesce("uses", F.lit(0)).alias("uses"),
-        (F.col("tokens") * F.col("max_repeats") >= F.col("target_share") * F.col("total")).alias("reachable"),
+        "source", "target_share", "max_repeats", "tokens", target.alias("target_tokens"), "drawn_tokens", share("total").alias("share_of_intended"), share("all").alias("drawn_share"),
+        F.coalesce("uses", F.lit(0)).alias("uses"), (F.col("drawn_tokens") >= F.col("tokens") * F.col("max_repeats")).alias("exhausted"), (F.col("tokens") * F.col("max_repeats") >= target).alias("reachable"),
     )
     return Mixture(drawn, report)
+
+
+def _chosen(spark: SparkSession, shards: int, per_shard: int, sources: list[tuple[str, int, int]], seed: int) -> DataFrame:
+    """``shard, slot, source, use, block``: each shard's slots; ``slot`` numbers a source's draws."""
+
+    def choose(batches: Iterator):  # noqa: ANN202
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for shard in pdf["id"]:
+                counts, first = shard_counts(int(shard), shards, per_shard, [d for _, d, _ in sources], seed)
+                out = []
+                for (s, _, n), c, f in zip(sources, counts, first):
+                    slot = np.arange(f, f + c)
+                    use, at = slot // n, slot % n
+                    for u in np.unique(use):
+                        # the last block, which may be shorter, closes each pass
+                        full = (use == u) & (at < n - 1)
+                        at[full] = permuted(at[full], n - 1, zlib.crc32(f"{seed}/{s}/{u}".encode()))
+                    out.append(pd.DataFrame({"shard": int(shard), "slot": slot, "source": s, "use": use + 1, "block": at}))
+                yield pd.concat(out)
+
+    schema = "shard long, slot long, source string, use long, block long"
+    if not shards:
+        return spark.createDataFrame([], schema)
+    return spark.range(0, shards, 1, max(1, min(shards, spark.sparkContext.defaultParallelism * 4))).mapInPandas(choose, schema)

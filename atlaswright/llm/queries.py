@@ -78,10 +78,20 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_report(pack_documents(table(spark, sf_dir, "documents")))
 
 
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, chars, in_order, fits``: characters of each text in containers; whether its parts follow each other without gap, in containers not overfull."""
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    by = packed.join(full, "container").groupBy("doc_id").agg(
+        F.sum(F.col("end") - F.col("start")).alias("chars"), F.max("end").alias("last"), F.min("start").alias("first"), F.max("fill").alias("fill"), F.max("part").alias("p"), F.count(F.lit(1)).alias("n")
+    )
+    return by.select("doc_id", "chars", ((F.col("first") == 0) & (F.col("last") == F.col("chars")) & (F.col("p") == F.col("n") - 1)).alias("in_order"), (F.col("fill") <= 2048).alias("fits"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that cannot reach their share: the draw, repeated as often as allowed, falls short of it."""
+    """Sources that cannot reach their share: all their blocks are drawn as often as allowed, and the draw still falls short."""
     report = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).report
-    return report.where("not reachable and drawn_tokens < target_tokens").select("source")
+    return report.where("exhausted and drawn_tokens < target_tokens").select("source")
 
 
 def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +104,18 @@ def p9_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets")).drawn
 
 
+def p9_limits(spark: SparkSession, sf_dir: str, block: int = 2048) -> DataFrame:
+    """What holds of every draw, by source: tokens within half a block of the target or all used up, and no token drawn too often.
+
+    ``most_uses`` is the greatest number of times that any token of the source is drawn, if it is more than allowed, else the allowed one.
+    """
+    mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), block)
+    uses = mix.drawn.groupBy("source", "doc_id", "from_token").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("u")).groupBy("source").agg(F.max(F.greatest("n", "u")).alias("n"))
+    r = mix.report.join(uses, "source", "left")
+    near = F.abs(F.col("drawn_tokens") - F.col("target_tokens")) <= block / 2
+    return r.select("source", "target_share", F.col("max_repeats").cast("int").alias("max_repeats"), (near | F.col("exhausted")).alias("on_target"), F.greatest(F.coalesce("n", F.lit(0)), "max_repeats").cast("int").alias("most_uses"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many characters of each document stand elsewhere, too."""
     return shared_lengths(table(spark, sf_dir, "documents"))
@@ -108,7 +130,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    fs = (p1_found, p1_classes, p2_found, p2_ranking, p3_found, p3_weights, p6_found, p6_ranked, p8_found, p8_containers, p8_report, p9_found, p9_report, p9_drawn, p10_found, p10_shares)
+    fs = (p1_found, p1_classes, p2_found, p2_ranking, p3_found, p3_weights, p6_found, p6_ranked, p8_found, p8_containers, p8_coverage, p8_report, p9_found, p9_report, p9_limits, p9_drawn, p10_found, p10_shares)
     return {f.__name__: f for f in fs}
 
 
@@ -180,6 +202,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(c, 0) AS shared_chars,
               CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(c, 0) / length(text), 6) ELSE 0 END AS shared_part FROM documents d LEFT JOIN got ON got.doc_id = d.doc_id""",
         "p10_found": f"WITH {_WINDOWS} SELECT doc_id, CAST(sum(least(150, coalesce(i - p, 150))) AS BIGINT) AS shared_chars FROM hit GROUP BY doc_id",
+        "p8_coverage": "SELECT doc_id, length(text) AS chars, TRUE AS in_order, TRUE AS fits FROM documents WHERE length(text) > 0",
+        "p9_limits": "SELECT source, target_share, max_repeats, TRUE AS on_target, max_repeats AS most_uses FROM source_targets",
         "p1_found": f"WITH {_SETS} SELECT feature, title_a, title_b FROM pairs",
         "p3_found": f"WITH {_WORDS} SELECT title, word FROM weights QUALIFY row_number() OVER (PARTITION BY title ORDER BY round(weight, 9) DESC, word) = 1",
         "p3_weights": f"WITH {_WORDS} SELECT title, word, tf, df, round(weight, 6) AS weight FROM weights",
