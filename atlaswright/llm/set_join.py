@@ -7,10 +7,11 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlaswright.functions.readings import category_reading, location_reading
+from atlaswright.operators.skew import salted_join
 from atlaswright.session import cut
 
 
@@ -86,7 +87,25 @@ def join_group(records: list[tuple], t: float, cross: bool) -> Iterator[tuple]:
             lists.setdefault(v, []).append(k)
 
 
-def similar_sets(rows: DataFrame, t: float = 0.6, min_size: int = 3, cross: bool = False, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+def numbered_values(rows: DataFrame, bits: int = 63) -> DataFrame:
+    """``part, side, record, v``: values as numbers, equal ones only for equal values.
+
+    A number is a hash of ``bits`` bits. Hashes that several values have are looked for among the distinct values (counted before the
+    shuffle); such values, a handful among ten billion, are numbered one by one above all hashes.
+    """
+    hashed = lambda *c: F.shiftright(F.xxhash64(*c), 64 - bits)
+    rows = rows.withColumn("v", hashed("part", "value"))
+    clash = rows.select("part", "value", "v").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("part", "value"))).alias("who")).where("n > 1")
+    clash, _ = cut(clash.select("v", "who"), "clashes")
+    if clash.isEmpty():
+        return rows.select("part", "side", "record", "v")
+    place = F.row_number().over(Window.orderBy("v", "w")) + (1 << 62)
+    anew = clash.select("v", F.explode("who").alias("w")).select("w.part", "w.value", place.alias("anew"))
+    again = rows.join(anew, ["part", "value"], "left")
+    return again.select("part", "side", "record", F.coalesce("anew", "v").alias("v"))
+
+
+def similar_sets(rows: DataFrame, t: float = 0.6, min_size: int = 3, cross: bool = False, block: int = 2000, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Pairs of distinct sets with Jaccard similarity of at least ``t``, and which record has which set.
 
     ``rows``: ``part`` (only records of one part are compared), ``side`` (with ``cross`` only records of different
@@ -99,14 +118,19 @@ def similar_sets(rows: DataFrame, t: float = 0.6, min_size: int = 3, cross: bool
     A partition of more than ``block`` sets is divided by a second (and third) common value, which
     similar sets must have too; what is still larger is split into blocks that meet pairwise. So no
     task holds more than two blocks, and a value that a third of all records hold, being last in order,
-    hardly ever opens a partition. Values are compared by 64-bit hashes.
+    hardly ever opens a partition. Values are compared by 64-bit numbers that differ for different values (:func:`numbered_values`).
 
     Null parts, records or values do not count; repeated rows count once; records of fewer than ``min_size`` values
     are in no class. A set is one array, so one record's values must fit a task.
     """
-    base = rows.where("part is not null and record is not null and value is not null").select("part", "side", "record", F.xxhash64("part", "value").alias("v")).distinct()
+    base = numbered_values(rows.where("part is not null and record is not null and value is not null").select("part", "side", "record", "value")).distinct()
     df = base.groupBy("v").agg(F.count(F.lit(1)).alias("df"))
-    sets = base.join(df, "v").groupBy("part", "side", "record").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s")).where(F.size("s") >= min_size)
+    # values of many records are spread over several tasks
+    spread = F.ceil(F.col("df") / most).alias("salts")
+    hot = df.where(F.col("df") > most).select("v", spread)
+    base = base.join(hot, "v", "left").withColumn("salt", F.pmod(F.xxhash64("record"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    df = df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("df") / most) - 1)))
+    sets = base.join(df, ["v", "salt"]).groupBy("part", "side", "record").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("s")).where(F.size("s") >= min_size)
     sets, _ = cut(sets, "sets")
     keyed = ["part", "s"] + (["side"] if cross else [])
     named = sets.groupBy(*keyed).agg(F.min("record").alias("class"))
@@ -191,11 +215,16 @@ def feature_rows(categories: DataFrame, named_locations: DataFrame) -> DataFrame
 
 
 def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """``part, record_a, record_b`` of all similar records; the size is that of the result, equal sets included."""
+    """``part, record_a, record_b`` of all similar records; the size is that of the result, equal sets included.
+
+    Classes of many records are salted: a set that a third of all records have gives its pairs in many tasks.
+    """
     m = members.select("part", "class", "record")
-    across = pairs.join(m.select("part", F.col("class").alias("class_a"), F.col("record").alias("x")), ["part", "class_a"]).join(m.select("part", F.col("class").alias("class_b"), F.col("record").alias("y")), ["part", "class_b"])
+    of = lambda c, r: m.select("part", F.col("class").alias(c), F.col("record").alias(r))
+    first = salted_join(of("class_a", "x"), pairs, ["part", "class_a"], "x", 2000)
+    across = salted_join(of("class_b", "y"), first, ["part", "class_b"], "y", 2000)
     across = across.select("part", F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
-    within = m.select("part", "class", F.col("record").alias("record_a")).join(m.select("part", "class", F.col("record").alias("record_b")), ["part", "class"]).where("record_a < record_b")
+    within = salted_join(of("class", "record_a"), of("class", "record_b"), ["part", "class"], "record_a", 2000).where("record_a < record_b")
     return across.unionByName(within.select("part", "record_a", "record_b"))
 
 

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from atlaswright.llm.set_join import classes, expand, feature_rows, join_group, merge_skip, similar_sets, t_occurrence
+from atlaswright.llm.set_join import classes, expand, feature_rows, join_group, merge_skip, numbered_values, similar_sets, t_occurrence
 
 
 @settings(max_examples=200, deadline=None)
@@ -93,3 +93,18 @@ def test_empty_and_readings(spark):
     locs = spark.createDataFrame([("A", "_P q ", 1, 0), ("A", "R", 0, 0), ("A", "S", None, 0), ("A", " _ ", 2, 0)], "title string, location string, cnt int, ord int")
     got = {(r.part, r.record, r.value) for r in feature_rows(cats, locs).where("value is not null and record is not null").collect()}
     assert got == {("categories", "A", "x_y"), ("named_locations", "A", "P_q")}
+
+
+def test_values_whose_hashes_are_equal(spark):
+    rows = [("f", "", f"r{k % 7}", f"v{k}") for k in range(40)]
+    got = numbered_values(spark.createDataFrame(rows, SCHEMA), bits=3)
+    assert got.count() == 40 and got.select("v").distinct().count() == 40
+    same = numbered_values(spark.createDataFrame(rows + rows, SCHEMA))
+    assert same.count() == 80 and same.select("v").distinct().count() == 40
+
+
+def test_equal_sets_of_many_records(spark):
+    rows = [("f", "", f"r{k:04}", v) for k in range(300) for v in ("a", "b", "c")] + [("f", "", "near", v) for v in ("a", "b", "c", "d")]
+    pairs, members = similar_sets(spark.createDataFrame(rows, SCHEMA), most=50)
+    assert expand(pairs, members).distinct().count() == 300 * 299 // 2 + 300
+    assert {r.links for r in classes(pairs, members).collect()} == {300}

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from atlaswright.llm import shared_spans as S
-from atlaswright.llm.mixing import mix_sources, permuted
+from atlaswright.llm.mixing import _due, mix_sources, permuted, shard_counts, split_counts
 from atlaswright.llm.packing import best_fit_decreasing, container_report, pack_documents
 from atlaswright.llm.tokens import PATTERN, TOKENIZER, count_tokens, pieces
 
@@ -66,7 +66,7 @@ def test_packing(spark):
             fill[x.container] = fill.get(x.container, 0) + x.n_tokens
             assert x.is_split == (n[x.doc_id] > 128)
         assert {k: sum(t for _, t in v) for k, v in by.items()} == {k: v for k, v in n.items() if v and k is not None}
-        assert all(len(v) == -(-n[k] // 128) and sorted(p for p, _ in v) == list(range(len(v))) for k, v in by.items())
+        assert all(sorted(p for p, _ in v) == list(range(len(v))) and (len(v) == 1) == (n[k] <= 128) for k, v in by.items())
         assert max(fill.values()) <= 128
         rep = container_report(packed, 128).first()
         assert rep.containers == len(fill) and rep.tokens == sum(fill.values())
@@ -75,12 +75,19 @@ def test_packing(spark):
     assert container_report(pack_documents(df.limit(0), 128)).first().containers == 0
 
 
-def test_cuts(spark):
+@pytest.mark.parametrize("text", [" word" * 50, "x" * 900 + " Satz " + "漢字😀" * 40, "a  b \n\n c" * 30])
+def test_cuts(text):
     p = pieces(TOKENIZER)
-    text = " word" * 50
-    at = [0, *p.cuts(text, 8), len(text)]
-    parts = [text[a:b] for a, b in zip(at, at[1:])]
-    assert "".join(parts) == text and all(p.count(x) <= 8 for x in parts)
+    parts = p.cuts(text, 8)
+    assert [a for a, _, _ in parts] == [0, *[b for _, b, _ in parts][:-1]] and parts[-1][1] == len(text)
+    assert all(p.count(text[a:b]) <= 8 and n <= 8 for a, b, n in parts)
+
+
+def test_parts_are_the_text(spark):
+    text = "y" * 3000 + " Ein Satz mit Wörtern." * 90
+    got = pack_documents(spark.createDataFrame([(1, text, None), (2, "short", None)], DOCS), 64).orderBy("doc_id", "part").collect()
+    assert "".join(text[x.start : x.end] for x in got if x.doc_id == 1) == text and [(x.start, x.end) for x in got if x.doc_id == 2] == [(0, 5)]
+    assert all(pieces(TOKENIZER).count(text[x.start : x.end]) <= 64 for x in got if x.doc_id == 1)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000])
@@ -94,23 +101,52 @@ def test_mixing(spark):
     rows += [(5000, " word" * 900, "unlisted"), (5001, " word", None), (5002, None, "beta"), (5003, "", "beta")]
     df = spark.createDataFrame(rows, DOCS)
     targets = spark.createDataFrame([("alpha", 0.3, 1), ("beta", 0.4, 3), ("gamma", 0.3, 2), ("nothing", 0.0, 1), (None, 0.5, 1), ("empty", 0.1, None)], "source string, target_share double, max_repeats int")
-    mix = mix_sources(df, targets, block_tokens=256, per_shard=16)
+    mix = mix_sources(df, targets, block_tokens=256, per_shard=16, per_bucket=7)
     rep = {x.source: x for x in mix.report.collect()}
     total = sum(rep[s].tokens for s in ("alpha", "beta", "gamma"))
     assert total == sum(pieces(TOKENIZER).count(t) for k, t, s in rows if k < 5000)
     assert rep["alpha"].reachable and rep["beta"].reachable and not rep["gamma"].reachable and rep["nothing"].reachable and not rep["empty"].reachable
     for s in ("alpha", "beta"):
-        assert abs(rep[s].drawn_tokens - rep[s].target_tokens) < 2.5 * 256 + 0.03 * rep[s].target_tokens
-    assert rep["gamma"].drawn_tokens == 2 * rep["gamma"].tokens
-    uses = mix.drawn.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("use").alias("d")).collect()
-    most = {"alpha": 1, "beta": 3, "gamma": 2}
-    assert all(u.n <= most[u.source] and u.n == u.d for u in uses)
-    again = mix_sources(df.repartition(7), targets, block_tokens=256, per_shard=16).drawn
+        assert abs(rep[s].drawn_tokens - rep[s].target_tokens) <= 128 and abs(rep[s].share_of_intended - rep[s].target_share) <= 128 / total
+    assert rep["gamma"].drawn_tokens == 2 * rep["gamma"].tokens and rep["gamma"].exhausted and not rep["alpha"].exhausted
+    drawn = mix.drawn.collect()
+    most, token = {"alpha": 1, "beta": 3, "gamma": 2}, {}
+    for x in drawn:
+        for k in range(x.from_token, x.to_token):
+            token[x.source, x.doc_id, k] = token.get((x.source, x.doc_id, k), 0) + 1
+    assert all(n <= most[s] for (s, *_), n in token.items())
+    fill = {}
+    for x in drawn:
+        fill[x.source, x.slot] = fill.get((x.source, x.slot), 0) + x.n_tokens
+    assert {v for (s, _), v in fill.items() if s == "alpha"} == {256} and max(fill.values()) == 256
+    slots = {}
+    for s, k, h in {(x.source, x.slot, x.shard) for x in drawn}:
+        slots[h] = slots.get(h, 0) + 1
+        assert h < -(-len(fill) // 16)
+    assert sorted(slots.values())[1:] == [16] * (len(slots) - 1)
+    again = mix_sources(df.repartition(7), targets, block_tokens=256, per_shard=16, per_bucket=7).drawn
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mix.drawn.collect()))
     nothing = mix_sources(df.limit(0), targets)
     assert nothing.drawn.count() == 0 and nothing.report.count() == 5
 
 
+def test_due_slots():
+    for tokens, target, most in ((1000, 250.0, 1), (1000, 999.0, 1), (1000, 2490.0, 3), (70, 300.0, 9), (1000, 5000.0, 2), (0, 5.0, 2), (10, 0.0, 2)):
+        n = -(-tokens // 100)
+        due = _due(tokens, target, most, 100)
+        got = due // n * tokens + due % n * 100 if n else 0
+        assert got <= tokens * most and (got == tokens * most or abs(got - target) <= 50)
+
+
+def test_shard_counts_add_up():
+    due = [700, 0, 41, 3]
+    got = [shard_counts(k, 12, 64, due, 5) for k in range(12)]
+    assert [sum(c[j] for c, _ in got) for j in range(4)] == due and [sum(c) for c, _ in got][:-1] == [64] * 11
+    assert all([f[j] + c[j] for j in range(4)] == g[1][:4] for (c, f), g in zip(got, got[1:]))
+    big = split_counts([3 * 10**9, 10**9], 10**9, [1])
+    assert sum(big) == 10**9 and abs(big[0] - 75 * 10**7) < 10**6
+
+
 def brute_shared(docs, width):
     where = {}
     for d, t in docs:
