@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, object]] = []
 
 
 def build_session(app: str = "atlaswright", master: str | None = None, **conf: object) -> SparkSession:
@@ -32,12 +33,14 @@ def build_session(app: str = "atlaswright", master: str | None = None, **conf: o
 def scratch_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's ``spark.checkpoint.dir`` where it is set.
 
-    Only where neither that setting nor a checkpoint folder exists (tests, one machine) a
-    temporary folder is made and set for the session.
+    Only where neither that setting nor a checkpoint folder exists and all tasks run in this process (a local master: tests, one machine) a
+    temporary folder is made and set for the session. On a cluster that would be another folder on each machine, so there it is an error.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="atlaswright-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -47,13 +50,20 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write ``df`` once to the scratch folder and read it back: lineage ends at replicated files.
 
     Unlike a cached block, the table survives the loss of any executor. Returns the
-    table and its path, which :func:`forget` removes once nothing reads it any more.
+    table and its path, which :func:`forget` removes. A table that nobody forgets is removed by a later call, once no plan reads it any
+    more (its file index has been collected), or at the end of the program at the latest.
     """
     spark = df.sparkSession
+    for owner, old, index in list(_written):
+        if owner is spark and index.get() is None:
+            forget(spark, old)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path), path
+    table = spark.read.schema(df.schema).parquet(path)
+    # all plans made of this table share its file index
+    index = table._jdf.queryExecution().analyzed().relation().location()
+    _written.append((spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    return table, path
 
 
 def forget(spark: SparkSession, path: str) -> None:
@@ -66,7 +76,7 @@ def forget(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in list(_written):
+    for spark, path, _ in list(_written):
         try:
             forget(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
