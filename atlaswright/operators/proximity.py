@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.geo import EARTH_KM, haversine_km, usable_position
+from atlaswright.session import cut
 
 
 def current_positions(coordinates: DataFrame) -> DataFrame:
@@ -22,106 +23,119 @@ def current_positions(coordinates: DataFrame) -> DataFrame:
     return best.select("title", F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon"))
 
 
-class _Grid:
-    """Bands of equal height and, in each band, cells of about equal width; all as column expressions."""
+DENSE = 256  # points of a cell beyond which it is divided
+PARTS = 4  # rows and columns that a cell is divided into; a power of two, so that small cells nest exactly
+LEVELS = 6  # of ever smaller cells
 
-    def __init__(self, side_deg: float):
-        self.side = side_deg
 
-    def band(self, lat: Column) -> Column:
-        return F.floor((lat + 90.0) / self.side)
+def _row(lat: Column, side: float, level: int) -> Column:
+    return F.floor((lat + 90.0) / side * float(PARTS**level)).cast("long")
 
-    def cols(self, band: Column) -> Column:
-        """Number of cells of a band: no cell is narrower than the side anywhere in it."""
-        south = band * self.side - 90.0
-        most = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(south + self.side)))
-        return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(most)) / self.side))
 
-    def col(self, lon: Column, cols: Column) -> Column:
-        return F.pmod(F.floor((lon + 180.0) * cols / 360.0), cols)
+def _columns(row: Column, side: float, level: int) -> Column:
+    """Number of cells around the globe in a row of this level: none is narrower than its height anywhere in its band."""
+    south = F.floor(row / PARTS**level) * side - 90.0
+    most = F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(south + side)))
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(most)) / side)).cast("long") * PARTS**level
 
 
-def _wrap(deg: Column) -> Column:
-    """A difference of longitudes in [-180, 180)."""
-    return F.pmod(deg + 180.0, F.lit(360.0)) - 180.0
+def _column(lon: Column, columns: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * columns).cast("long"), columns)
 
 
-def points_within(
-    points: DataFrame,
-    id_col: str,
-    lat: str,
-    lon: str,
-    km: float,
-    dense: int = 48,
-    parts: int = 8,
-    block: int = 2000,
-) -> DataFrame:
+def _half_width(lat: Column, at: Column, km: float) -> Column:
+    """Degrees of longitude that the disc around a point of latitude ``lat`` reaches to either side at latitude ``at``: 0 beyond it, 180 around a pole."""
+    c = (math.cos(km / EARTH_KM) - F.sin(F.radians(lat)) * F.sin(F.radians(at))) / (F.cos(F.radians(lat)) * F.cos(F.radians(at)))
+    return F.when(F.isnan(c) | (c <= -1), 180.0).when(c >= 1, 0.0).otherwise(F.degrees(F.acos(c)))
+
+
+def _covered(discs: DataFrame, side: float, level: int, km: float) -> DataFrame:
+    """The cells of one level that the northern half of each disc reaches, within the parent cell if there is one; ``inside`` if wholly in it.
+
+    A row's reach is worked out once from the disc's width at the row's edges, so cells outside the disc never come up.
+    """
+    height = side / PARTS**level
+    reach = math.degrees(km / EARTH_KM)
+    top = F.least(F.lit(90.0), F.col("lat") + reach * (1 + 1e-9))
+    lo, hi = _row(F.col("lat"), side, level), _row(top, side, level)
+    if level:
+        lo, hi = F.greatest(lo, F.col("row") * PARTS), F.least(hi, F.col("row") * PARTS + PARTS - 1)
+        discs = discs.withColumn("__c0", F.col("col") * PARTS).withColumn("__c1", F.col("col") * PARTS + PARTS - 1)
+    rows = discs.where(lo <= hi).withColumn("row", F.explode(F.sequence(lo, hi))).withColumn("columns", _columns(F.col("row"), side, level))
+    south, north = F.greatest("lat", F.col("row") * height - 90.0), F.least(top, (F.col("row") + 1) * height - 90.0)
+    # the disc is widest a little north of its centre
+    ratio = F.sin(F.radians("lat")) / math.cos(km / EARTH_KM)
+    widest = F.when(ratio >= 1, 90.0).when(ratio <= -1, F.col("lat")).otherwise(F.degrees(F.asin(ratio)))
+    rows = rows.withColumn("__out", _half_width(F.col("lat"), F.least(F.greatest(widest, south), north), km) * (1 + 1e-9) + 1e-9)
+    within = F.least(_half_width(F.col("lat"), south, km), _half_width(F.col("lat"), north, km)) * (1 - 1e-9) - 1e-9
+    rows = rows.withColumn("__in", F.when((F.col("lat") + reach <= 90) & ((F.col("row") + 1) * height - 90.0 <= F.col("lat") + reach * (1 - 1e-9)), within).otherwise(-1.0))
+    width, x = 360.0 / F.col("columns"), F.col("lon") + 180.0
+    west, east = F.floor((x - F.col("__out")) / width).cast("long"), F.floor((x + F.col("__out")) / width).cast("long")
+    east = F.least(east, west + F.col("columns") - 1)
+    wide = (F.col("__out") >= 120.0) | (F.col("columns") <= 8 * PARTS**level)
+    if level:
+        # the parent's columns as seen from the disc, which may lie across the date line; near a pole it may meet both their ends
+        turn = F.floor(((F.col("__c0") + PARTS / 2) * width - x + 180.0) / 360.0).cast("long") * F.col("columns")
+        west, east = F.when(wide, west).otherwise(F.greatest(west, F.col("__c0") - turn)), F.when(wide, east).otherwise(F.least(east, F.col("__c1") - turn))
+    cells = rows.withColumn("__c", F.explode(F.when(west <= east, F.sequence(west, east)).otherwise(F.array().cast("array<bigint>"))))
+    if level:
+        cells = cells.where(~wide | F.pmod("__c", "columns").between(F.col("__c0"), F.col("__c1")))
+    inside = (F.col("__c") * width >= x - F.col("__in")) & ((F.col("__c") + 1) * width <= x + F.col("__in")) & (F.col("__in") > 0)
+    return cells.select("id", "lat", "lon", F.lit(level).alias("level"), "row", F.pmod("__c", "columns").alias("col"), inside.alias("inside"))
+
+
+def points_within(points: DataFrame, id_col: str, lat: str, lon: str, km: float, dense: int = DENSE, levels: int = LEVELS, block: int = 2000) -> DataFrame:
     """All pairs ``id_a < id_b`` of points at most ``km`` apart on the sphere, poles and date line included.
 
-    The disc around each point is covered with grid cells. The covering adapts to the density:
-    a cell of about ``km`` side holding more than ``dense`` points is replaced by ``parts`` x
-    ``parts`` smaller ones. Cells that lie wholly in the disc accept their points by the
-    equi-join alone; points of boundary cells get the exact distance test; cells outside are
-    not joined. Cells with more than ``block`` points are split into salted blocks, so a place
+    The northern half of the disc around each point is covered with grid cells (of two points the southern one, or at equal latitude the one of the
+    smaller id, finds the other). The covering adapts to the density: a cell of about ``km`` side holding more than ``dense`` points is divided into
+    4 x 4 smaller ones, these again, up to ``levels`` times. Cells that lie wholly in the disc accept their points by the
+    equi-join alone, at whatever level; points of boundary cells get the exact distance test; cells outside are
+    never made. Cells with more than ``block`` points are split into salted blocks, so a place
     that holds a third of all points spreads over many tasks.
 
     Rows with a null id, a null, NaN or out-of-range position do not count. Repeated rows of one id and
     position count once; points at the same place are pairs (distance 0).
     """
     side = math.degrees(km / EARTH_KM) * (1 + 1e-9)
-    grid = _Grid(side)
     p = points.select(F.col(id_col).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
-    p = p.where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).distinct()
-    p = p.withColumn("band", grid.band(F.col("lat"))).withColumn("cols", grid.cols(F.col("band"))).withColumn("col", grid.col(F.col("lon"), F.col("cols")))
-
-    crowded = p.groupBy("band", "col").count().where(F.col("count") > dense).select("band", "col", F.lit(True).alias("dense"))
-    south, width = F.col("band") * side - 90.0, 360.0 / F.col("cols")
-    west = F.col("col") * width - 180.0
-    i = F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((F.col("lat") - south) / side * parts)))
-    j = F.least(F.lit(parts - 1), F.floor(F.pmod(F.col("lon") - west, F.lit(360.0)) / width * parts))
-    leaf = p.join(crowded, ["band", "col"], "left").withColumn("sub", F.when(F.col("dense"), i * parts + j).otherwise(-1))
-    hot = leaf.groupBy("band", "col", "sub").count().where(F.col("count") > block)
-    hot = hot.select("band", "col", "sub", F.ceil(F.col("count") / block).alias("salts"))
-    right = leaf.join(hot, ["band", "col", "sub"], "left").select(
-        "band", "col", "sub", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(0).alias("salt"),
-        F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"),
-    )
-
-    # covering of each disc: bands, then the columns of each band that the disc reaches
-    reach = math.degrees(km / EARTH_KM) * (1 + 1e-9)
-    ratio = F.sin(F.lit(km / EARTH_KM)) / F.cos(F.radians("lat"))
-    half = F.when((F.abs("lat") + reach >= 90) | (ratio >= 1), 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))) * (1 + 1e-9) + 1e-12)
-    top = grid.band(F.lit(90.0))
-    disc = p.select("id", "lat", "lon", half.alias("half"), F.explode(F.sequence(F.greatest(F.lit(0), grid.band(F.col("lat") - reach)), F.least(top, grid.band(F.col("lat") + reach)))).alias("band"))
-    disc = disc.withColumn("cols", grid.cols(F.col("band")))
-    lo, hi = F.floor((F.col("lon") - F.col("half") + 180.0) * F.col("cols") / 360.0), F.floor((F.col("lon") + F.col("half") + 180.0) * F.col("cols") / 360.0)
-    disc = disc.withColumn("col", F.explode(F.sequence(lo, F.least(hi, lo + F.col("cols") - 1)))).withColumn("col", F.pmod("col", "cols"))
-    disc = disc.join(crowded, ["band", "col"], "left")
-    subs = F.when(F.col("dense"), F.sequence(F.lit(0), F.lit(parts * parts - 1))).otherwise(F.array(F.lit(-1)))
-    disc = disc.withColumn("sub", F.explode(subs))
-
-    whole = F.col("sub") < 0
-    step_lat = F.when(whole, side).otherwise(side / parts)
-    step_lon = F.when(whole, width).otherwise(width / parts)
-    s = south + F.when(whole, 0.0).otherwise(F.floor(F.col("sub") / parts) * step_lat)
-    w = west + F.when(whole, 0.0).otherwise((F.col("sub") % parts) * step_lon)
-    disc = disc.withColumns({"s": s, "n": s + step_lat, "w": _wrap(w - F.col("lon")), "wide": step_lon})
-    e = F.col("w") + F.col("wide")
-    here, zero = F.col("lat"), F.lit(0.0)
-    side_far = F.greatest(F.abs("w"), F.abs(e))
-    # going away along a meridian or a parallel only adds distance, so the corners are farthest
-    farthest = F.greatest(haversine_km(here, zero, F.col("s"), side_far), haversine_km(here, zero, F.col("n"), side_far))
-    interior = (side_far < 90) & (farthest <= km * (1 - 1e-9)) & (F.col("s") >= -90) & (F.col("n") <= 90)
-    near_lon = F.when((F.col("w") <= 0) & (e >= 0), 0.0).otherwise(F.least(F.abs("w"), F.abs(e), F.abs(F.col("w") + 360.0), F.abs(e - 360.0)))
-    near_lat = F.least(F.greatest(here, F.col("s")), F.col("n"))
-    outside = (F.abs("lat") < 80) & (haversine_km(here, zero, near_lat, near_lon) > 1.1 * km)
-    disc = disc.withColumn("inside", interior).where(~outside).join(hot, ["band", "col", "sub"], "left")
-    left = disc.select("band", "col", "sub", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.col("id").alias("id_a"), "lat", "lon", "inside")
+    p, _ = cut(p.where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).distinct(), "points")
+    p = p.withColumn("row", _row(F.col("lat"), side, 0))
+
+    # divided and crowded cells, level by level: only points of divided cells go on to the next one
+    key, on = ["row", "col"], ["level", "row", "col"]
+    owned = [p.withColumn("col", _column(F.col("lon"), _columns(F.col("row"), side, 0)))]
+    crowds: list[DataFrame] = []
+    for level in range(levels + 1):
+        many, _ = cut(owned[level].groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(dense, block)), "crowds")
+        crowds.append(many.select(F.lit(level).alias("level"), *key, (F.col("n") > dense if level < levels else F.lit(False)).alias("divided"), F.ceil(F.col("n") / block).alias("salts")))
+        if level == levels or many.where(F.col("n") > dense).isEmpty():
+            break
+        finer = owned[level].join(crowds[level].where("divided").select(*key), key, "left_semi").withColumn("row", _row(F.col("lat"), side, level + 1))
+        owned.append(finer.withColumn("col", _column(F.col("lon"), _columns(F.col("row"), side, level + 1))))
+
+    left, right = [], []
+    discs = p.select("id", "lat", "lon")
+    for level, (own, many) in enumerate(zip(owned, crowds)):
+        cells = _covered(discs, side, level, km).join(many, on, "left")
+        right.append(own.select("id", "lat", "lon", F.lit(level).alias("level"), *key).join(many.select(*on, "salts"), on, "left"))
+        stop = F.col("inside") | F.coalesce(~F.col("divided"), F.lit(True))
+        if level + 1 < len(crowds):
+            cells, _ = cut(cells, "cells")
+            discs = cells.where(~stop).select("id", "lat", "lon", *key)
+        left.append(cells.where(stop).drop("divided"))
+    right_all, left_all = right[0], left[0]
+    for r, c in zip(right[1:], left[1:]):
+        right_all, left_all = right_all.unionByName(r), left_all.unionByName(c)
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    right_all = right_all.select(*on, F.pmod(F.xxhash64("id"), salts).alias("salt"), F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
+    left_all = left_all.select(*on, F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("id").alias("id_a"), "lat", "lon", "inside")
 
     # the covering is larger than its table's size suggests, so it must not be taken for a side to broadcast
-    pairs = left.join(right.hint("merge"), ["band", "col", "sub", "salt"]).where(F.col("id_a") < F.col("id_b"))
+    pairs = left_all.join(right_all.hint("merge"), [*on, "salt"]).where((F.col("lat_b") > F.col("lat")) | ((F.col("lat_b") == F.col("lat")) & (F.col("id_a") < F.col("id_b"))))
     close = F.when(F.col("inside"), True).otherwise(haversine_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= km)
-    return pairs.where(close).select("id_a", "id_b")
+    found = pairs.where(close).where("id_a <> id_b")
+    return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
 
 
 def near_titles(coordinates: DataFrame, km: float = 1.0) -> DataFrame:

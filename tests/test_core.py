@@ -138,6 +138,25 @@ def test_hierarchies(spark, name):
     assert got == want
 
 
+def test_contraction_in_rounds(spark):
+    """All of these, and a mesh of ten links up and down above a loop, with no link left to a single task."""
+    links = [(f"{name[:2]} {a}", f"{name[:2]} {b}") for name, tree in TREES.items() if name != "awkward" for a, b in tree]
+    links += [(f"a{k}{i}", f"a{k + 1}{j}") for k in range(3) for i in range(10) for j in range(10)] + [(f"a3{i}", "p") for i in range(10)] + [("p", "q"), ("q", "p")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    got = {r.node: (r.root, r.depth) for r in hierarchies(df.select(F.col("child").alias("node")), df, finish=0).collect()}
+    assert got == brute_tree([], links)
+
+
+def test_deep_layers_of_two(spark):
+    """200 layers of two nodes, each linked to both of the next layer; below them a leaf, or a loop with a leaf."""
+    links = [(f"{g}{a}{k:03}", f"{g}{b}{k + 1:03}") for g in "mn" for k in range(199) for a in "xy" for b in "xy"]
+    links += [("nx199", "l"), ("l", "m"), ("m", "l"), ("m", "end")] + [("mx199", "leaf")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    got = {r.node: (r.root, r.depth, r.path) for r in hierarchies(df.select(F.col("child").alias("node")), df, paths=True, finish=100).collect()}
+    assert len(got) == 804 and got["my199"][:2] == ("mx000", 199) and got["nx150"][2] == [f"nx{k:03}" for k in range(151)]
+    assert got["leaf"][:2] == ("mx000", 200) and got["end"] == got["l"] == got["m"] == ("", -1, None)
+
+
 def test_paths_and_descendants(spark):
     rows = [(1, "Category: A ", ["B|x", "[]"]), (2, "B", ["C c", None, "C+c"]), (3, "D", []), (4, None, ["E"]), (5, "F", ["category:F"]), (6, "F", None)]
     df = spark.createDataFrame(rows, "counter int, category string, subcategories array<string>")
@@ -169,7 +188,7 @@ def test_points_within(spark, km):
     pts += [("e1", 0.5, 180.0), ("e2", 0.5, -180.0), ("same", 0.5, 180.0), ("s1", -90.0, 0.0), ("s2", -90.0, 100.0), ("same", 0.5, 180.0)]
     pts += [(None, 1.0, 1.0), ("n", None, 1.0), ("nan", math.nan, 1.0), ("far", 91.0, 1.0)]
     df = spark.createDataFrame(pts, "id string, lat double, lon double")
-    got = [tuple(r) for r in points_within(df, "id", "lat", "lon", km, dense=6, parts=4, block=5).collect()]
+    got = [tuple(r) for r in points_within(df, "id", "lat", "lon", km, dense=6, levels=3, block=5).collect()]
     assert len(got) == len(set(got))
     assert set(got) == brute_pairs(pts, km)
 
