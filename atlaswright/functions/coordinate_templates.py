@@ -6,23 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values (patterns)
-OUTER = r"(?s)\{\{(?:Wikidata)? *[Cc]oor.*?display *= *(?:(?:[a-zA-Z]* *)[,;:./]? *){0,3}(?:(?:[Ii][Tt])|(?:[Tt][Ii][Tt][Ll][Ee])).*?}}"
-INNER = r"\| *(?:(?:(?:-?\d*(?:\.\d*)?)|N|n|S|s|W|w|E|e) *[|}] *)+"
+OUTER = r"\{\{(Wikidata)? *[Cc]oor.*?display *= *(([a-zA-Z]* *)[,;:./]? *){0,3}(([Ii][Tt])|([Tt][Ii][Tt][Ll][Ee])).*?}}"
+INNER = r"\| *(((-?\d*(\.\d*)?)|N|n|S|s|W|w|E|e) *[|}] *)+"
+ESCAPED = r"&lt;.*?&gt;"
 
-# a template within ten characters of an escaped < before and > after it
-COMMENTED = rf"(?s)(?<=&lt;.{{0,6}})(?>{OUTER[4:]})(?=.{{0,6}}&gt;)"
+# group 1: an escaped < within ten characters before a template; group 2: the template; group 9: what ends in an escaped > within ten after it
+FRAMED = rf"(?:(?<=((?i:&lt;)(?s:.{{0,6}})))?)({OUTER})(?:(?=((?s:.{{0,6}}?)(?i:&gt;)))?)"
 
 
 def template_position(raw: Column) -> Column:
     """``struct<lat, lon>`` of the last valid template with ``display`` in title or inline-title form; null if there is none.
 
-    Templates of other globes and those inside a comment (an escaped ``<`` just before, ``>`` just after) do not count.
+    A template stands on one line. Those of other globes and those inside a comment (an escaped ``<`` just before, ``>`` just after) do not count;
+    comments within a template are dropped before its numbers are read.
     """
-    bare = F.regexp_replace(raw, COMMENTED, "")
-    hits = F.regexp_extract_all(bare, F.lit(OUTER), 0)
-    kept = F.filter(hits, lambda t: ~(F.contains(t, F.lit("globe")) & ~F.contains(t, F.lit("globe:earth"))))
-    found = F.filter(F.transform(kept, _position), lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
-    return F.try_element_at(found, F.lit(-1))
+    part = lambda k: F.regexp_extract_all(raw, F.lit(FRAMED), k)
+    framed = F.arrays_zip(part(1).alias("before"), part(2).alias("t"), part(9).alias("after"))
+    real = F.filter(framed, lambda m: ~((F.length(m["before"]) > 0) & (F.length(m["after"]) > 0)) & ~(F.contains(m["t"], F.lit("globe")) & ~F.contains(m["t"], F.lit("globe:earth"))))
+    spots = F.transform(real, lambda m: _position(F.regexp_replace(m["t"], ESCAPED, "")))
+    found = F.filter(spots, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    # most texts have no template at all
+    return F.when(raw.rlike(r"\{\{[^\n]*[Cc]oor"), F.try_element_at(found, F.lit(-1)))
 
 
 def _position(template: Column) -> Column:

@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.geo import haversine_km
 from atlaswright.operators.skew import salted_join
 
 
+def _units(c: str) -> Column:
+    """Degrees as a whole number of units of 1e-12: their sums are the same in any order of the rows."""
+    return F.round(F.col(c) * 1e12).cast("decimal(20,0)")
+
+
+def _mean(total: Column, n: Column) -> Column:
+    """Mean degrees of a sum of units, rounded (half up) to nine places in whole numbers, so that it is the same in any order of the rows and on any engine."""
+    n = n.cast("decimal(20,0)")
+    shifted = total + n * F.lit(10**15)  # by a thousand degrees, so that nothing is negative
+    return (F.call_function("div", shifted * 2 + n * 1000, n * 2000) - 10**12) / 1e9
+
+
 def _members(categories: DataFrame, positions: DataFrame) -> DataFrame:
     rows = categories.where("title is not null and category is not null").select("title", "category")
     return rows.join(positions.select("title", "lat", "lon"), "title", "left")
@@ -18,12 +30,12 @@ def category_stats(categories: DataFrame, positions: DataFrame) -> DataFrame:
     """``category, n_articles, n_located, lat, lon, dispersion``.
 
     Articles count once for each time they name the category; the mean position and the mean distance to it are over
-    located articles, each once. Both are null for a category without located articles. Means are arithmetic, in degrees.
+    located articles, each once. Both are null for a category without located articles. Means are arithmetic, in degrees, to nine places.
     """
     m = _members(categories, positions)
     counts = m.groupBy("category").agg(F.count(F.lit(1)).alias("n_articles"))
     each = m.where("lat is not null and lon is not null").distinct()
-    mean = each.groupBy("category").agg(F.count(F.lit(1)).alias("n_located"), F.avg("lat").alias("mean_lat"), F.avg("lon").alias("mean_lon"))
+    mean = each.groupBy("category").agg(F.count(F.lit(1)).alias("n_located"), _mean(F.sum(_units("lat")), F.count("lat")).alias("mean_lat"), _mean(F.sum(_units("lon")), F.count("lon")).alias("mean_lon"))
     away = each.join(mean, "category").groupBy("category").agg(F.avg(haversine_km(F.col("lat"), F.col("lon"), F.col("mean_lat"), F.col("mean_lon"))).alias("dispersion"))
     out = counts.join(mean, "category", "left").join(away, "category", "left")
     return out.select("category", "n_articles", F.coalesce("n_located", F.lit(0)).cast("long").alias("n_located"), F.col("mean_lat").alias("lat"), F.col("mean_lon").alias("lon"), "dispersion")
@@ -36,14 +48,15 @@ def leave_one_out_means(categories: DataFrame, positions: DataFrame) -> DataFram
     articles is never gathered.
     """
     each = _members(categories, positions).where("lat is not null and lon is not null").distinct()
-    sums = each.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum("lat").alias("sum_lat"), F.sum("lon").alias("sum_lon"))
+    sums = each.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(_units("lat")).alias("sum_lat"), F.sum(_units("lon")).alias("sum_lon"))
     others = F.col("n") - 1
     safe = F.when(others > 0, others)
-    return each.join(sums, "category").select("category", "title", ((F.col("sum_lat") - F.col("lat")) / safe).alias("lat"), ((F.col("sum_lon") - F.col("lon")) / safe).alias("lon"), others.alias("others"))
+    less = lambda c: _mean(F.col(f"sum_{c}") - _units(c), safe)
+    return each.join(sums, "category").select("category", "title", less("lat").alias("lat"), less("lon").alias("lon"), others.alias("others"))
 
 
-def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame) -> DataFrame:
-    """``category, title, dispersion``: mean distance of the other located articles to their mean.
+def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """``category, title, dispersion``: mean distance of the other located articles to their mean; with ``requests`` (category, title) only for these.
 
     Distances do not decompose, so every article meets every other one of its category, salted for large categories; pairs
     go straight into partial averages. The work is quadratic in a category's located articles, as the result asks.
@@ -51,6 +64,8 @@ def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame) -> Da
     each = _members(categories, positions).where("lat is not null and lon is not null").distinct()
     others = each.select("category", F.col("title").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     means = leave_one_out_means(categories, positions).where("others > 0")
+    if requests is not None:
+        means = means.join(requests.select("category", "title"), ["category", "title"], "left_semi")
     met = salted_join(means, others, ["category"], "title", 2000).where("title <> other")
     return met.groupBy("category", "title").agg(F.avg(haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))).alias("dispersion"))
 
@@ -62,7 +77,7 @@ def requester_view(requests: DataFrame, categories: DataFrame, positions: DataFr
     located / (articles + 1), 0 if no article is left. With ``compat`` the only located member still counts itself.
     """
     stats = category_stats(categories, positions)
-    loo = leave_one_out_means(categories, positions).join(leave_one_out_dispersions(categories, positions), ["category", "title"], "left")
+    loo = leave_one_out_means(categories, positions).join(leave_one_out_dispersions(categories, positions, requests), ["category", "title"], "left")
     loo = loo.select("category", "title", F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"), F.col("dispersion").alias("own_disp"), "others")
     v = requests.select("category", "title").distinct().join(stats, "category").join(loo, ["category", "title"], "left")
     member = F.col("others").isNotNull()

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from atlaswright.config import DEFAULTS
 from atlaswright.functions.geo import haversine_km
 from atlaswright.functions.text import normal_title, upper_first
-from atlaswright.operators.entities import located_names
 
 # fixed values
 PHRASES = ["located in ", "located at ", "located outside ", "located inside ", "located east ", "located west ", "located north ", "located south ", "located near ", "headquartered in ", "headquartered at ", "found in "]
-DISTANCE = r"\d{2,}\s+(nautical\s+)?(km|kilomet|mile)|\{\{convert\|\d{2,}\|"
+DISTANCE_IN_LINE = r"\d{2,}\s+(nautical\s+)?(km|kilomet|mile)"
+DISTANCE_IN_WINDOW = r"\{\{convert\|\d{2,}\|"
 ENTITY = r"\[\[(.*?)(\||(]]))"
-SECTION_BREAK = r"(?s)(\n\s+\n)|(==.*?==)"
+SECTION_BREAK = r"(\n\s+\n)|(==.*?==)"
 IS_A_DISTANCE = r"\d{2,}\s*(km|kilometer|mile|mi)"
 IS_A_SCRUB = [
     (r"\{\{[Cc]onvert.*?\d{2,}.*?((km)|(mi)).*?}}", "---LOCATION DELETE---"),
@@ -35,52 +35,56 @@ def phrase_windows(pages: DataFrame) -> DataFrame:
     """``title, phrase, at, words, window``: places where a page says that something is located, in its first sentence.
 
     ``pages``: title, raw, clean. The phrase must stand before the first full stop, after fewer than 30 words. ``words`` are those of
-    the 150 characters after it, up to a section break; ``window`` is the 300 raw characters from the phrase on. Windows that
-    speak of a distance are left out.
+    the 150 characters after it, up to a section break; ``window`` is the 300 raw characters from the phrase's first mention there on (in any case). Lines
+    that speak of a distance, and windows with a converted one, are left out, in any case of letters.
     """
     p = pages.where("title is not null and clean is not null and raw is not null").withColumn("phrase", F.explode(F.array(*[F.lit(x) for x in PHRASES])))
     p = p.withColumn("at", F.instr("clean", F.col("phrase"))).where("at > 0")
     dot = F.instr("clean", F.lit("."))
-    before = F.size(F.split(F.trim(F.col("clean").substr(F.lit(1), F.col("at") - 1)), r"\s+"))
+    before = F.size(F.split(F.regexp_replace(F.col("clean").substr(F.lit(1), F.col("at") - 1), r"\s+$", ""), r"\s"))
     p = p.where((dot > F.col("at")) & (before < DEFAULTS.located_at_words))
     after = F.col("clean").substr(F.col("at") + F.length("phrase"), F.lit(DEFAULTS.located_at_chars))
-    line = F.split(after, SECTION_BREAK, 2)[0]
+    p = p.withColumn("line", F.split(after, SECTION_BREAK, 2)[0])
     start = F.instr(F.lower("raw"), F.col("phrase"))
-    window = F.when(start > 0, F.col("raw").substr(start, F.lit(2 * DEFAULTS.located_at_chars))).otherwise("")
-    return p.select("title", "phrase", "at", F.split(line, r"\s").alias("words"), window.alias("window")).where(~F.col("window").rlike(DISTANCE))
+    p = p.withColumn("window", F.when(start > 0, F.col("raw").substr(start, F.lit(2 * DEFAULTS.located_at_chars))).otherwise(""))
+    near = ~F.lower("line").rlike(DISTANCE_IN_LINE) & ~F.lower("window").rlike(DISTANCE_IN_WINDOW)
+    return p.where(near).select("title", "phrase", "at", F.split("line", r"\s").alias("words"), "window")
 
 
 def scattered(windows: DataFrame, redirects: DataFrame, positions: DataFrame, types: DataFrame, most_km: float = DEFAULTS.located_at_diameter_km) -> DataFrame:
-    """``title, phrase`` of windows naming entities (of a specific enough type) too far apart. ``types``: title, priority."""
+    """``title, phrase`` of windows naming entities, or redirecting to some, that are too far apart. ``types``: title, priority.
+
+    Only entities of a specific enough type count. A window has at most 300 characters, so its places fit one array.
+    """
     e = windows.select("title", "phrase", F.explode(F.regexp_extract_all("window", F.lit(ENTITY), 1)).alias("name")).select("title", "phrase", normal_title(F.col("name")).alias("entity")).distinct()
-    far = located_names(e, redirects, positions).join(types.where(F.col("priority") >= LEAST_PRIORITY).select(F.col("title").alias("location")), "location", "left_semi")
-    p = far.join(positions.select(F.col("title").alias("location"), "lat", "lon"), "location").select("title", "phrase", "location", "lat", "lon").distinct()
-    q = p.select("title", "phrase", F.col("location").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    both = p.join(q, ["title", "phrase"]).where("location < other")
-    return both.where(haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) > most_km).select("title", "phrase").distinct()
+    hop = redirects.select(F.col("title").alias("entity"), F.col("target").alias("hop")).dropDuplicates(["entity"])
+    both = e.unionByName(e.join(hop, "entity").select("title", "phrase", F.col("hop").alias("entity")))
+    fine = types.where(F.col("priority") >= LEAST_PRIORITY).select(F.col("title").alias("entity")).distinct()
+    p = both.join(fine, "entity", "left_semi").join(positions.select(F.col("title").alias("entity"), "lat", "lon"), "entity")
+    p = p.groupBy("title", "phrase").agg(F.collect_set(F.struct("lat", "lon")).alias("ps")).where(F.size("ps") > 1)
+    far = F.exists("ps", lambda a: F.exists("ps", lambda b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"]) > most_km))
+    return p.where(far).select("title", "phrase")
 
 
 def located_at(pages: DataFrame, redirects: DataFrame, positions: DataFrame, types: DataFrame) -> DataFrame:
     """``title, location``: the place that the earliest successful phrase of a page names.
 
-    From the first word on, growing word groups are looked up among the entities linked in the raw window: one with a position (its own or its
+    From the first word on, growing word groups are looked up among the entities linked in the raw window, in any case of letters: one with a position (its own or its
     redirect's) is a place, one without cancels shorter ones. The first starting word with a place left wins, with its longest
     group; a word after ``new`` starts none.
     """
     w = phrase_windows(pages)
     w = w.join(scattered(w, redirects, positions, types), ["title", "phrase"], "left_anti")
-    starts = w.select("title", "phrase", "at", "window", "words", F.posexplode("words").alias("i", "first"))
+    starts = w.select("title", "phrase", "at", F.lower("window").alias("window"), "words", F.posexplode("words").alias("i", "first"))
     starts = starts.where((F.length("first") > 0) & ~F.coalesce(F.lower(F.get("words", F.col("i") - 1)) == "new", F.lit(False)))
-    # no linked entity is longer than the longest link of the window
-    longest = F.array_max(F.transform(F.regexp_extract_all("window", F.lit(ENTITY), 1), lambda x: F.size(F.split(F.trim(x), r"\s+"))))
-    grams = starts.withColumn("most", F.least(longest + 1, F.size("words") - F.col("i"))).where("most >= 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("most"))))
-    text = F.regexp_replace(F.array_join(F.filter(F.expr("slice(words, i + 1, n)"), lambda x: F.length(x) > 0), " "), r"[,.;?!\-%#]$", "")
-    grams = grams.withColumn("plain", upper_first(text)).where(F.length("plain") > 0).withColumn("entity", F.replace("plain", F.lit(" "), F.lit("_")))
+    grams = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("i"))))
+    text = F.regexp_replace(F.trim(F.array_join(F.expr("slice(words, i + 1, n)"), "_")), r"[,.;?!\-%#]$", "")
+    grams = grams.select("title", "phrase", "at", "window", "i", "n", upper_first(text).alias("entity")).where(F.length("entity") > 0)
     hop = redirects.select(F.col("title").alias("entity"), F.col("target").alias("hop")).dropDuplicates(["entity"])
     grams = grams.join(hop, "entity", "left")
-    linked = lambda name: F.contains(F.col("window"), F.concat(F.lit("[["), name, F.lit("|"))) | F.contains(F.col("window"), F.concat(F.lit("[["), name, F.lit("]]")))
-    is_entity = linked(F.col("plain")) | F.coalesce(linked(F.replace("hop", F.lit("_"), F.lit(" "))), F.lit(False))
-    grams = grams.where(is_entity)
+    plain = lambda name: F.lower(F.replace(name, F.lit("_"), F.lit(" ")))
+    linked = lambda name: F.contains(F.col("window"), F.concat(F.lit("[["), plain(name), F.lit("|"))) | F.contains(F.col("window"), F.concat(F.lit("[["), plain(name), F.lit("]]")))
+    grams = grams.where(linked(F.col("entity")) | F.coalesce(linked(F.col("hop")), F.lit(False)))
     known = positions.select(F.col("title").alias("entity")).distinct()
     grams = grams.join(known.withColumn("own", F.lit(True)), "entity", "left").join(known.withColumnRenamed("entity", "hop").withColumn("via", F.lit(True)), "hop", "left")
     place = F.when(F.col("own"), F.col("entity")).when(F.col("via"), F.col("hop"))
@@ -93,9 +97,9 @@ def _ends_sentence(word: Column) -> Column:
     return word.endswith("]].") | (word.endswith(".") & ~word.startswith("[["))
 
 
-def _first(words: Column, wanted: list[str], start: Column, end: Column) -> Column:
-    """Index (from 0) of the first wanted word in [start, end) before a word ending a sentence; null if there is none."""
-    spots = F.transform(words, lambda w, k: F.when((k >= start) & (k < end) & (F.lower(w).isin(wanted) | _ends_sentence(w)), F.struct(k.alias("k"), F.lower(w).isin(wanted).alias("hit"))))
+def _first(words: Column, wanted: list[str], start: Column, end: Column, shortest: int = 0) -> Column:
+    """Index (from 0) of the first wanted word in [start, end) before a word ending a sentence; null if there is none. Shorter words are passed over."""
+    spots = F.transform(words, lambda w, k: F.when((k >= start) & (k < end) & (F.length(w) >= shortest) & (F.lower(w).isin(wanted) | _ends_sentence(w)), F.struct(k.alias("k"), F.lower(w).isin(wanted).alias("hit"))))
     head = F.try_element_at(F.array_compact(spots), F.lit(1))
     return F.when(head["hit"], head["k"])
 
@@ -112,7 +116,7 @@ def is_a_in(pages: DataFrame, redirects: DataFrame, positions: DataFrame) -> Dat
         text = F.regexp_replace(text, pattern, put)
     s = own.select("title", text.substr(1, DEFAULTS.is_a_in_chars).alias("s")).where((F.length("s") > 0) & ~F.col("s").rlike(IS_A_DISTANCE) & ~F.col("s").contains("---LOCATION DELETE---"))
     s = s.withColumn("words", F.split("s", r"\s"))
-    verb = _first(F.col("words"), VERBS, F.lit(0), F.lit(DEFAULTS.is_a_in_words))
+    verb = _first(F.col("words"), VERBS, F.lit(0), F.lit(DEFAULTS.is_a_in_words), 2)
     s = s.withColumn("v", verb).where("v is not null").withColumn("p", _first(F.col("words"), PREPOSITIONS, F.col("v") + 1, F.size("words"))).where("p is not null")
     rest = F.slice("words", F.col("p") + 2, F.size("words"))
     s = s.withColumn("rest", rest).withColumn("ends", F.transform("rest", _ends_sentence)).withColumn("end", F.array_position("ends", F.lit(True))).where("end > 0")

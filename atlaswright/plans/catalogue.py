@@ -21,6 +21,7 @@ from atlaswright.operators.entities import located_names
 from atlaswright.operators.hierarchy import category_links
 from atlaswright.operators.proximity import current_positions
 from atlaswright.plans.core_queries import _POSITIONS, _reading, table
+from atlaswright.plans.pages import type_sql
 from atlaswright.session import cut
 from atlaswright.sources.writers import vector_json
 
@@ -100,14 +101,6 @@ locv AS (SELECT title, location, score / sqrt(sum(score * score) OVER (PARTITION
 """
 
 
-# mean positions often end in an exact half of the last digit, which each engine's last bit would round its own way: a small shift keeps them off it
-_EVEN = "round({} + 1.23456789e-7, 6)"
-
-
-def _even(c: str):  # noqa: ANN202
-    return F.round(F.col(c) + 1.23456789e-7, 6)
-
-
 def _dist(a: str, b: str) -> str:
     h = f"(pow(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * pow(sin(radians({b}.lon - {a}.lon) / 2), 2))"
     return f"(2 * 6371.0 * atan2(sqrt(least(1.0, {h})), sqrt(1 - least(1.0, {h}))))"
@@ -152,17 +145,6 @@ def link_first_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return each.groupBy("doc_id", "target").agg(F.min("i").alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-@_query()
-def clean_texts(spark: SparkSession, sf: str) -> DataFrame:
-    return _docs(spark, sf).select("doc_id", clean_text(F.col("text"), F.col("title")).alias("clean"))
-
-
-@_query()
-def template_positions(spark: SparkSession, sf: str) -> DataFrame:
-    p = _docs(spark, sf).select("doc_id", template_position(F.col("text")).alias("p")).where("p is not null")
-    return p.select("doc_id", F.round("p.lat", 6).alias("lat"), F.round("p.lon", 6).alias("lon"))
-
-
 @_query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\\s*(Category:|\\||!|\\*|#|Image:)')), chr(10)) AS text FROM documents WHERE text IS NOT NULL")
 def line_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).where("text is not null").select("doc_id", without_dropped_lines(F.col("text")).alias("text"))
@@ -386,12 +368,6 @@ def variant_reduction(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("title", F.array_join(F.sort_array(irreducible(F.col("vs"))), ",").alias("variants"))
 
 
-@_query()
-def variant_count(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).where("text is not null and main_location is not null")
-    return d.select("doc_id", occurrences(F.concat(F.lit(" "), F.lower("text"), F.lit(" ")), F.lower(F.replace(F.trim("main_location"), F.lit("_"), F.lit(" ")))).alias("n"))
-
-
 # -- positions and categories ----------------------------------------------------------------------------
 
 _PLACES = f"{_LOCS}, {_POSITIONS}, places AS (SELECT locs.title, location AS place, lat, lon FROM locs LEFT JOIN pos ON pos.title = location)"
@@ -416,26 +392,30 @@ def diameter_filter(spark: SparkSession, sf: str) -> DataFrame:
     return category_stats.within_diameter(g, 12000).select(F.col("key").alias("title"), F.round("diameter", 6).alias("diameter"))
 
 
+_UNITS = "CAST(round({} * 1e12) AS HUGEINT)"
+_MEAN = "CASE WHEN {1} > 0 THEN ((({0} + {1}::HUGEINT * 1000000000000000) * 2 + {1} * 1000) // nullif({1}::HUGEINT * 2000, 0) - 1000000000000) / 1e9 END"
 _STATS = f"""{_CATS}, {_POSITIONS},
 m AS (SELECT category, cats.title, lat, lon FROM cats LEFT JOIN pos ON pos.title = cats.title),
-mean AS (SELECT category, count(*) AS n_articles, count(lat) AS n_located, avg(lat) AS lat, avg(lon) AS lon FROM m GROUP BY category),
+mean AS (SELECT category, n_articles, n_located, {_MEAN.format('sum_lat', 'n_located')} AS lat, {_MEAN.format('sum_lon', 'n_located')} AS lon, sum_lat, sum_lon
+  FROM (SELECT category, count(*) AS n_articles, count(lat) AS n_located, sum({_UNITS.format('lat')}) AS sum_lat, sum({_UNITS.format('lon')}) AS sum_lon FROM m GROUP BY category)),
 disp AS (SELECT a.category, avg({_dist('a', 'b')}) AS dispersion FROM m a JOIN mean b ON a.category = b.category WHERE a.lat IS NOT NULL GROUP BY a.category),
-stats AS (SELECT mean.*, dispersion FROM mean LEFT JOIN disp ON disp.category = mean.category),
-loo AS (SELECT m.category, m.title, (b.lat * n_located - m.lat) / nullif(n_located - 1, 0) AS lat, (b.lon * n_located - m.lon) / nullif(n_located - 1, 0) AS lon, n_located - 1 AS others FROM m JOIN mean b ON b.category = m.category WHERE m.lat IS NOT NULL),
+stats AS (SELECT mean.* EXCLUDE (sum_lat, sum_lon), dispersion FROM mean LEFT JOIN disp ON disp.category = mean.category),
+loo AS (SELECT m.category, m.title, {_MEAN.format(f"(sum_lat - {_UNITS.format('m.lat')})", '(n_located - 1)')} AS lat, {_MEAN.format(f"(sum_lon - {_UNITS.format('m.lon')})", '(n_located - 1)')} AS lon, n_located - 1 AS others
+  FROM m JOIN mean b ON b.category = m.category WHERE m.lat IS NOT NULL),
 lood AS (SELECT a.category, a.title, avg({_dist('b', 'a')}) AS dispersion FROM loo a JOIN m b ON a.category = b.category AND a.title <> b.title AND b.lat IS NOT NULL GROUP BY a.category, a.title)
 """
 
 
-@_query(f"WITH {_STATS} SELECT category, n_articles, n_located, {_EVEN.format("lat")} AS lat, {_EVEN.format("lon")} AS lon, round(dispersion, 6) AS dispersion FROM stats")
+@_query(f"WITH {_STATS} SELECT category, n_articles, n_located, lat, lon, round(dispersion, 6) AS dispersion FROM stats")
 def stats_of_categories(spark: SparkSession, sf: str) -> DataFrame:
     s = category_stats.category_stats(_cats(spark, sf), _positions(spark, sf))
-    return s.select("category", "n_articles", "n_located", _even("lat").alias("lat"), _even("lon").alias("lon"), F.round("dispersion", 6).alias("dispersion"))
+    return s.select("category", "n_articles", "n_located", "lat", "lon", F.round("dispersion", 6).alias("dispersion"))
 
 
-@_query(f"WITH {_STATS} SELECT category, title, {_EVEN.format("lat")} AS lat, {_EVEN.format("lon")} AS lon, others FROM loo")
+@_query(f"WITH {_STATS} SELECT category, title, lat, lon, others FROM loo")
 def category_loo_mean(spark: SparkSession, sf: str) -> DataFrame:
     s = category_stats.leave_one_out_means(_cats(spark, sf), _positions(spark, sf))
-    return s.select("category", "title", _even("lat").alias("lat"), _even("lon").alias("lon"), "others")
+    return s.select("category", "title", "lat", "lon", "others")
 
 
 @_query(f"WITH {_STATS} SELECT category, title, round(dispersion, 6) AS dispersion FROM lood")
@@ -444,14 +424,14 @@ def category_loo_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     return s.withColumn("dispersion", F.round("dispersion", 6))
 
 
-@_query(f"""WITH {_STATS} SELECT c.category, c.title, {_EVEN.format('CASE WHEN l.others IS NULL THEN s.lat ELSE l.lat END')} AS lat, {_EVEN.format('CASE WHEN l.others IS NULL THEN s.lon ELSE l.lon END')} AS lon,
+@_query(f"""WITH {_STATS} SELECT c.category, c.title, CASE WHEN l.others IS NULL THEN s.lat ELSE l.lat END AS lat, CASE WHEN l.others IS NULL THEN s.lon ELSE l.lon END AS lon,
     round(CASE WHEN l.others IS NULL THEN s.dispersion ELSE d.dispersion END, 6) AS dispersion, n_located - (l.others IS NOT NULL)::INT AS n_located,
     round(CASE WHEN n_articles - (l.others IS NOT NULL)::INT > 0 THEN (n_located - (l.others IS NOT NULL)::INT) / (n_articles - (l.others IS NOT NULL)::INT + 1) ELSE 0 END, 9) AS ratio
     FROM cats c JOIN stats s ON s.category = c.category LEFT JOIN loo l ON l.category = c.category AND l.title = c.title LEFT JOIN lood d ON d.category = c.category AND d.title = c.title""")
 def category_requester_view(spark: SparkSession, sf: str) -> DataFrame:
     cats = _cats(spark, sf)
     v = category_stats.requester_view(cats, cats, _positions(spark, sf))
-    return v.select("category", "title", _even("lat").alias("lat"), _even("lon").alias("lon"), F.round("dispersion", 6).alias("dispersion"), "n_located", F.round("ratio", 9).alias("ratio"))
+    return v.select("category", "title", "lat", "lon", F.round("dispersion", 6).alias("dispersion"), "n_located", F.round("ratio", 9).alias("ratio"))
 
 
 # -- graphs ----------------------------------------------------------------------------------------------
@@ -502,22 +482,12 @@ def type_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("title", F.coalesce(type_from_categories(F.col("c")), F.lit("NONE")).alias("type"))
 
 
-@_query()
+@_query(type_sql())
 def type_of_articles(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cascade; ``type_cascade`` is its first rule."""
     return _types(spark, sf).select("doc_id", "title", "type")
 
 
-@_query(f"WITH {_LOCS}, {_POSITIONS}, first AS (SELECT title, min_by(location, (ord, location)) AS location FROM locs GROUP BY title) SELECT title, location FROM first WHERE location IN (SELECT title FROM pos)")
-def located_at_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages made of each title's first location: the phrase is put before a link to it."""
-    first = _locations(spark, sf).groupBy("title").agg(F.min(F.struct("ord", "location"))["location"].alias("location"))
-    raw = F.concat(F.lit("It is located in [["), F.replace("location", F.lit("_"), F.lit(" ")), F.lit("]] . It has a port."))
-    pages = first.select("title", raw.alias("raw"), F.regexp_replace(raw, r"\[\[|]]", "").alias("clean"))
-    none = spark.createDataFrame([], "title string, target_raw string, target string")
-    return signals.located_at(pages, none, _positions(spark, sf), spark.createDataFrame([], "title string, priority int"))
-
-
 @_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
 def json_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))

@@ -50,10 +50,50 @@ def read_subcategories(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("counter", "category", F.filter(F.split(inner, r"\|\|\|"), lambda k: F.length(k) > 0).alias("subcategories"))
 
 
-def member_names(reply: Column) -> Column:
-    """Subcategory names of a category-members reply, by their readings; null for malformed replies."""
+def member_names(reply: Column, category: Column | None = None) -> Column:
+    """Subcategory names of a category-members reply, by their readings; null for malformed replies, empty for those without members.
+
+    With ``category`` a first member that is the category itself is dropped.
+    """
     parsed = F.from_json(reply, MEMBERS_SCHEMA)
-    return F.transform(parsed["query"]["categorymembers"], lambda m: category_reading(m["title"]))
+    names = F.transform(F.coalesce(parsed["query"]["categorymembers"], F.array().cast("array<struct<pageid: bigint, ns: int, title: string>>")), lambda m: category_reading(m["title"]))
+    if category is not None:
+        names = F.when(F.get(names, F.lit(0)) == category_reading(category), F.slice(names, 2, F.greatest(F.lit(0), F.size(names)))).otherwise(names)
+    return F.when(_well_formed(reply), names)
+
+
+def _well_formed(reply: Column) -> Column:
+    return F.try_parse_json(reply).isNotNull()
+
+
+def member_links(replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``category, subcategories``; ``category, cmcontinue`` still to be asked for; ``rejected``, one row: how many replies were malformed) of ``category, reply``."""
+    read = replies.withColumn("subcategories", member_names(F.col("reply"), F.col("category")))
+    good = read.where(F.col("subcategories").isNotNull())
+    more = good.select("category", continuation(F.col("reply")).alias("cmcontinue")).where("cmcontinue is not null")
+    return good.select("category", "subcategories"), more, rejected(replies, _well_formed(F.col("reply")))
+
+
+def rejected(rows: DataFrame, good: Column) -> DataFrame:
+    """One row, ``rejected``: how many rows do not pass (null counts as not passing). Bad rows end no job; this says how many there were."""
+    return rows.agg(F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("rejected"))
+
+
+def all_category_names(from_sql: DataFrame, from_pages: DataFrame) -> DataFrame:
+    """Distinct ``name``s of an SQL dump and of the categories found on pages, by their readings."""
+    both = from_sql.select("name").unionByName(from_pages.select(F.col("category").alias("name")))
+    return both.select(category_reading(F.col("name")).alias("name")).where("name is not null").distinct()
+
+
+def views_url(title: Column, pattern: str) -> Column:
+    """The address of a title's page views: ``pattern`` with the URL-encoded title put for ``%s``."""
+    head, tail = pattern.split("%s")
+    return F.concat(F.lit(head), F.url_encode(title), F.lit(tail))
+
+
+def titles_without_views(titles: DataFrame, views: DataFrame) -> DataFrame:
+    """Distinct ``title``s for which no reply is there yet."""
+    return titles.where("title is not null").select("title").distinct().join(views.select("title"), "title", "left_anti")
 
 
 def continuation(reply: Column) -> Column:
