@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from atlaswright.session import cut, forget
 
-ROUNDS = 10
-RUNS_AT = (0, 3)  # rounds that name runs before pairs
-KEPT = (0, 4, 7)  # levels kept for windows that no higher symbol is certain in
+ROUNDS = 4
+RUNS_AT = (0, 2)  # rounds that name runs before pairs
+KEPT = (0,)  # levels kept, besides single characters, for windows that no higher symbol is certain in
 PIECE = 100_000  # characters worked on at once
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0xD1342543DE82EF95
@@ -43,8 +44,27 @@ class Prints:
         return _mix(x + (end - start).astype(np.uint64) * _A)
 
 
-def recompress(hashed: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Levels of symbols over hashed characters, the kept lower ones first: (names, left, right), in text order.
+def tokens(codes: np.ndarray, gaps: np.ndarray, prints: Prints) -> tuple:
+    """(names, left, right, gaps) of the tokens of a text: a word with what follows it up to the next word.
+
+    A token begins where a letter or digit comes after something else. Whether one begins is seen from two characters, so a token's ground is itself with one
+    character on either side.
+    """
+    word = (codes >= 128) | _ASCII_WORDS[np.minimum(codes, 127)]
+    begins = gaps.copy()
+    begins[1:] |= (word[1:] & ~word[:-1]) | gaps[:-1]
+    begins[0] = True
+    at = np.flatnonzero(begins)
+    end = np.append(at[1:], len(codes))
+    names = prints.of(at, end)
+    return names, np.maximum(at - 1, 0).astype(np.int32), np.minimum(end + 1, len(codes)).astype(np.int32), gaps[at]
+
+
+_ASCII_WORDS = np.array([chr(c).isalnum() for c in range(128)])
+
+
+def recompress(name: np.ndarray, left: np.ndarray, right: np.ndarray, gap: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Levels of symbols over tokens, the kept lower ones first: (names, left, right), in text order.
 
     Every round names maximal runs of a symbol (in some rounds) and then pairs: by a bit of its name each
     symbol is a first or a second one, and a first before a second becomes a pair. A name is a hash of
@@ -52,13 +72,9 @@ def recompress(hashed: np.ndarray, gaps: np.ndarray) -> list[tuple[np.ndarray, n
 
     ``left`` and ``right`` bound a symbol's ground: the span whose characters alone bring about that symbol.
     A pair's ground is that of its two parts; a first (second) one that stays single needs its right (left) neighbour's ground too, a run both
-    neighbours'. Where a span occurs again, every symbol whose ground it holds occurs in it again. ``gaps`` mark
+    neighbours'. Where a span occurs again, every symbol whose ground it holds occurs in it again. ``gap`` marks
     places between texts, which belong to no ground of a usable symbol.
     """
-    name = hashed
-    left = np.arange(len(hashed), dtype=np.int32)
-    right = left + np.int32(1)
-    gap = gaps
     levels = []
     for k in range(ROUNDS):
         if k in KEPT:
@@ -142,22 +158,23 @@ def _anchors(level: tuple, a: np.ndarray, b: np.ndarray, width: int) -> tuple:
 
 
 def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def window_rows(texts: list[str], width: int) -> tuple:
-    """Rows (key, whole, text number, first, windows): windows of ``width`` characters in a row that share a symbol.
+    """Rows (key, text number, first, windows, digests): windows of ``width`` characters in a row that share a symbol.
 
-    ``key`` is the fingerprint of the symbol's ground, ``whole`` that of all characters of the row's windows.
+    ``key`` is the fingerprint of the symbol's ground, the digest that of all characters of the row's windows.
     """
     # gaps before, between and after the texts, so that every symbol has neighbours
-    parts, bounds, at = [np.zeros(1, np.uint64)], [], 1
+    parts, bounds, at = [np.zeros(1, np.uint32)], [], 1
     for t in texts:
         c = _codes(t)
-        parts += [c, np.zeros(1, np.uint64)]
+        parts += [c, np.zeros(1, np.uint32)]
         bounds.append((at, at + len(c)))
         at += len(c) + 1
-    hashed = _mix(np.concatenate(parts) * _A + _C)
+    codes = np.concatenate(parts)
+    hashed = _mix(codes * _A + _C)
     bounds = np.array(bounds, np.int64)
     gaps = np.zeros(len(hashed), bool)
     gaps[0] = True
@@ -166,7 +183,8 @@ def window_rows(texts: list[str], width: int) -> tuple:
     a, b = bounds[long, 0], bounds[long, 1] - width + 1
     prints = Prints(hashed)
     out = []
-    levels = recompress(hashed, gaps)
+    place = np.arange(len(hashed), dtype=np.int32)
+    levels = [(hashed, place, place + np.int32(1)), *recompress(*tokens(codes, gaps, prints))]
     for depth in range(len(levels) - 1, -1, -1):
         if not len(a):
             break
@@ -174,7 +192,7 @@ def window_rows(texts: list[str], width: int) -> tuple:
         _, left, right = levels[depth]
         key = prints.of(left[sym].astype(np.int64), right[sym].astype(np.int64)) + np.uint64(depth)
         text = np.searchsorted(bounds[:, 0], lo, "right") - 1
-        out.append((key, prints.of(lo, hi - 1 + width), text, lo - bounds[text, 0], hi - lo))
+        out.append((key, text, lo, hi - lo))
         if len(ra):
             # neighbouring ranges of one text become one again
             new = np.ones(len(ra), bool)
@@ -184,9 +202,15 @@ def window_rows(texts: list[str], width: int) -> tuple:
             ra, rb = ra[head], rb[np.append(head[1:], len(rb)) - 1]
         a, b = ra, rb
     if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    key, whole, *rest = (np.concatenate(c) for c in zip(*out))
-    return (key.view(np.int64), whole.view(np.int64), *rest)
+        return (*(np.zeros(0, np.int64) for _ in range(4)), [])
+    key, text, lo, n = (np.concatenate(c) for c in zip(*out))
+    return key.view(np.int64), text, lo - bounds[text, 0], n, _digests(codes, lo, lo + n - 1 + width)
+
+
+def _digests(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """Cryptographic digests of 128 bits of spans of characters: equal ones stand for equal characters."""
+    raw = memoryview(np.ascontiguousarray(codes, np.uint32)).cast("B")
+    return [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip((start * 4).tolist(), (end * 4).tolist())]
 
 
 def _symbol_rows(docs: DataFrame, width: int) -> DataFrame:
@@ -198,9 +222,9 @@ def _symbol_rows(docs: DataFrame, width: int) -> DataFrame:
         size = 0
 
         def work() -> pa.RecordBatch:
-            key, whole, text, first, n = window_rows([t for _, _, t in held], width)
+            key, text, first, n, whole = window_rows([t for _, _, t in held], width)
             ids, shift = np.array([d for d, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int64)
-            cols = [pa.array(key), pa.array(whole), pa.array(ids[text]), pa.array((first + shift[text]).astype(np.int32)), pa.array(n.astype(np.int32))]
+            cols = [pa.array(key), pa.array(whole, pa.binary()), pa.array(ids[text]), pa.array((first + shift[text]).astype(np.int32)), pa.array(n.astype(np.int32))]
             return pa.RecordBatch.from_arrays(cols, names=["key", "whole", "doc_id", "first", "n"])
 
         for b in batches:
@@ -217,10 +241,10 @@ def _symbol_rows(docs: DataFrame, width: int) -> DataFrame:
         if held:
             yield work()
 
-    return docs.mapInArrow(rows, "key long, whole long, doc_id long, first int, n int")
+    return docs.mapInArrow(rows, "key long, whole binary, doc_id long, first int, n int")
 
 
-def _window_prints(texts: DataFrame, width: int) -> DataFrame:
+def _window_digests(texts: DataFrame, width: int) -> DataFrame:
     """``key, whole, lo, hi, at, print``: each window of the variants (of one text) listed in ``reps``."""
     import pyarrow as pa
 
@@ -230,34 +254,46 @@ def _window_prints(texts: DataFrame, width: int) -> DataFrame:
                 continue
             cols: tuple[list, ...] = ([], [], [], [], [], [])
             for text, reps in zip(b.column(0), b.column(1).to_pylist()):
-                prints = Prints(_mix(_codes(text.as_py()) * _B + _A))
+                codes = _codes(text.as_py())
                 first, n = np.array([r["first"] for r in reps]), np.array([r["n"] for r in reps])
                 starts = _spread(first, first + n)
-                for c, name in zip(cols, ("key", "whole", "lo", "hi")):
-                    c.append(np.repeat(np.array([r[name] for r in reps], np.int64), n))
-                cols[4].append((starts - np.repeat(first, n)).astype(np.int32))
-                cols[5].append(prints.of(starts, starts + width).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["key", "whole", "lo", "hi", "at", "print"])
+                of = np.repeat(np.arange(len(reps)), n)
+                for c, name in zip(cols, ("key", "lo", "hi")):
+                    c.append(np.array([r[name] for r in reps], np.int64)[of])
+                cols[3].append((starts - first[of]).astype(np.int32))
+                cols[4].extend(_digests(codes, starts, starts + width))
+                cols[5].extend([reps[k]["whole"] for k in of])
+            arrays = [pa.array(np.concatenate(c)) for c in cols[:4]] + [pa.array(c, pa.binary()) for c in cols[4:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["key", "lo", "hi", "at", "print", "whole"])
+
+    return texts.mapInArrow(rows, "key long, lo long, hi long, at int, print binary, whole binary")
+
 
-    return texts.mapInArrow(rows, "key long, whole long, lo long, hi long, at int, print long")
+def _single(texts: DataFrame) -> DataFrame:
+    """One text for each id: the greatest of those that repeat one. Only these are shuffled."""
+    many, _ = cut(texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"), "repeated")
+    if many.isEmpty():
+        return texts
+    return texts.join(many, "doc_id", "left_anti").unionByName(texts.join(many, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")))
 
 
 def shared_spans(docs: DataFrame, width: int = 150) -> DataFrame:
     """``doc_id, start, end``: runs of windows of ``width`` characters that stand unchanged in another document, too.
 
-    1. Every text is recompressed; each of its windows has one symbol whose ground lies in it, and windows in a row
+    1. Every text is cut into tokens, and these are recompressed; each of a text's windows has one symbol whose ground lies in it, and windows in a row
        with the same symbol make one row (a row stands for some fifty characters).
     2. Symbols that occur in at least two documents are kept. Counting combines before the shuffle; only
        the rows of kept symbols go on, a small part of the text.
-    3. Rows with the same symbol and the same characters are one variant. A variant in two documents is shared whole.
+    3. Rows with the same symbol and the same characters (by a cryptographic digest of them) are one variant. A variant in two documents is shared whole.
     4. Where a symbol has several variants, passages begin or end, or only the symbol is the same: there the windows of
-       one copy of each variant are fingerprinted again, from the text, over other character hashes, and compared.
+       one copy of each variant are taken from the text again and compared, by digests of all their characters.
 
-    So the result is exact (up to 64-bit fingerprints on top of equal symbols), with no pair of documents ever formed and no limit
+    So equal symbols only bring windows together; what is said to be shared has equal characters (to 128-bit digests). No pair of documents is ever formed, and there is no limit
     on copies: a passage in a third of all documents is one variant. Passages repeated inside one document only do not count.
-    Null texts, null ids and texts shorter than ``width`` give no row. Characters are code points. Ids must be unique.
+    Null texts, null ids and texts shorter than ``width`` give no row. Characters are code points. Of rows that repeat an id one counts, that of the greatest text.
     """
     texts = docs.where("doc_id is not null").where(F.length("text") >= width).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = _single(texts)
     rows, rows_at = cut(_symbol_rows(texts, width), "rows")
     two = F.min("doc_id") != F.max("doc_id")
     keys, _ = cut(rows.groupBy("key").agg(two.alias("two")).where("two").select("key"), "keys")
@@ -269,15 +305,19 @@ def shared_spans(docs: DataFrame, width: int = 150) -> DataFrame:
     reps = variants.join(several, "key", "left_semi")
     lists = reps.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "whole", "lo", "hi", F.col("at.first").alias("first"), "n")).alias("reps"))
     lists, _ = cut(lists, "reps")
-    windows, _ = cut(_window_prints(texts.join(lists, "doc_id").select("text", "reps"), width), "windows")
+    windows, _ = cut(_window_digests(texts.join(lists, "doc_id").select("text", "reps"), width), "windows")
     common = windows.groupBy("key", "print").agg((F.min("lo") != F.max("hi")).alias("two")).where("two").select("key", "print")
-    by_window = windows.join(common, ["key", "print"], "left_semi").groupBy("key", "whole").agg(F.collect_set("at").alias("ats"))
-    whole = variants.where("lo <> hi").select("key", "whole", F.lit(None).cast("array<int>").alias("ats"))
+    by_window = windows.join(common, ["key", "print"], "left_semi").groupBy("key", "whole").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    # windows in a row become one span
+    begins = F.filter("ats", lambda x, k: (k == 0) | (F.get("ats", k - 1) != x - 1))
+    ends = F.filter("ats", lambda x, k: (k == F.size("ats") - 1) | (F.get("ats", k + 1) != x + 1))
+    by_window = by_window.select("key", "whole", F.arrays_zip(begins.alias("a"), ends.alias("b")).alias("runs"))
+    whole = variants.where("lo <> hi").select("key", "whole", F.lit(None).cast("array<struct<a: int, b: int>>").alias("runs"))
     shared = whole.unionByName(by_window.join(whole.select("key", "whole"), ["key", "whole"], "left_anti"))
     met = found.join(shared, ["key", "whole"])
-    full = met.where("ats is null").select("doc_id", F.col("first").alias("start"), (F.col("first") + F.col("n") - 1 + width).alias("end"))
-    some = met.where("ats is not null").select("doc_id", "first", F.explode("ats").alias("at")).select("doc_id", (F.col("first") + F.col("at")).alias("start"), (F.col("first") + F.col("at") + width).alias("end"))
-    return full.unionByName(some)
+    full = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1).alias("b")))
+    each = met.select("doc_id", "first", F.explode(F.coalesce("runs", full)).alias("r"))
+    return each.select("doc_id", (F.col("first") + F.col("r.a")).alias("start"), (F.col("first") + F.col("r.b") + width).alias("end"))
 
 
 def shared_lengths(docs: DataFrame, width: int = 150) -> DataFrame:

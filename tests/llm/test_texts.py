@@ -188,7 +188,7 @@ def test_shared_lengths(spark, monkeypatch, width, piece):
 
 def test_every_window_has_one_row():
     docs = [t for _, t in corpus(3, 30) if t]
-    key, whole, text, first, n = S.window_rows(docs, 60)
+    key, text, first, n, _ = S.window_rows(docs, 60)
     seen = [np.zeros(max(0, len(t) - 59), int) for t in docs]
     for k, f, m in zip(text, first, n):
         seen[k][f : f + m] += 1
@@ -197,7 +197,7 @@ def test_every_window_has_one_row():
 
 def test_same_window_same_key():
     docs = [t for _, t in corpus(5, 30) if t]
-    key, _, text, first, n = S.window_rows(docs, 60)
+    key, text, first, n, _ = S.window_rows(docs, 60)
     keys = {}
     for q, k, f, m in zip(key, text, first, n):
         for i in range(f, f + m):
@@ -207,3 +207,17 @@ def test_same_window_same_key():
 
 def test_no_shared_text(spark):
     assert S.shared_lengths(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_ids_that_repeat(spark):
+    long = " ".join(str(k) for k in range(99))
+    df = spark.createDataFrame([(1, long, None), (1, "a", None), (1, "z" * 200, None), (2, long, None), (3, "z" * 180, None)], DOCS)
+    assert {r.doc_id: r.shared_chars for r in S.shared_lengths(df).collect()} == {1: 200, 3: 180}
+
+
+def test_texts_that_sums_of_powers_confuse(spark):
+    """A Thue-Morse text and its complement differ everywhere, though polynomial sums modulo a power of two do not tell them apart."""
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(4096))
+    b = a.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, a, None), (2, b, None)], DOCS)
+    assert {r.doc_id: r.shared_chars for r in S.shared_lengths(df, 2048).collect()} == brute_shared([(1, a), (2, b)], 2048)
