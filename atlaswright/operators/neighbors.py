@@ -41,7 +41,7 @@ def _numbered(*tables: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     every = tables[0].select("title")
     for t in tables[1:]:
         every = every.unionByName(t.select("title"))
-    ids, _ = cut(dense_ids(every, "title"), "ids")
+    ids, _ = cut(ordered_ids(every.where("title is not null").distinct(), ["title"], "id"), "ids")
     return ids, [t.join(ids, "title").drop("title") for t in tables]
 
 
@@ -81,9 +81,150 @@ def candidates(common: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return common.where(enough).select("title", "neighbor").distinct()
 
 
+def blocked_pairs(
+    rows: DataFrame, use: dict[str, float], least: float, enough: dict[str, int], drop_uncategorised_pairs: bool = True, block: int = 512,
+) -> DataFrame:
+    """``a, b, score`` of all pairs of a query ``a`` and an indexed ``b`` with a blended similarity of at least ``least``.
+
+    ``rows``: feature, term, id, score, indexed, extra. Word and location vectors have length 1; a category scores 1, and the similarity of two titles' categories is Jaccard's.
+    A pair counts only if it has ``enough`` terms of some feature in common. ``extra`` rows are common terms of a query, but no part of its vector.
+
+    Terms are ordered from rare to frequent. Of all terms of a pair, let x be the rarest common one: all common ones are among those from x on, in either's order. So
+    with the lengths of what each vector has from x on, by feature, the sum of their products bounds the similarity (for categories by the cosine of sets, which is no less
+    than Jaccard's). Each term's rows are kept only if they reach ``least`` with the longest such rests among its other rows: of a term that a third of
+    all titles have, being last in order, hardly any remain. What remains of a term is paired in blocks of ``block`` rows by matrix products of the rests, which
+    give the whole similarity at x (and less at later common terms, so the greatest counts). Nothing is lost and no length is capped.
+    """
+    code = F.when(F.col("feature") == FEATURES[0], 0).when(F.col("feature") == FEATURES[1], 1).otherwise(2)
+    df = rows.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("df"))
+    order, _ = cut(ordered_ids(df, ["df", "feature", "term"], "t").select("feature", "term", "t"), "terms")
+    held = rows.where(F.col("feature") == FEATURES[2]).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    p = rows.join(order, ["feature", "term"]).join(held, "id", "left").select("id", "t", code.alias("f"), F.coalesce("k", F.lit(0)).cast("double").alias("k"), "score", "indexed", "extra")
+    weight = F.when(F.col("f") == 2, 1 / F.sqrt("k")).otherwise(F.col("score"))
+    rest = Window.partitionBy("id").orderBy(F.desc("t"))
+    length = lambda f: F.sqrt(F.sum(F.when(F.col("f") == f, weight * weight).otherwise(0.0)).over(rest))
+    p = p.select("id", "t", "k", "indexed", "extra", *[length(f).alias(f"s{f}") for f in range(3)], F.collect_list(F.struct("t", "f", F.col("score").alias("w"), "extra")).over(rest).alias("rest"))
+    p, _ = cut(p, "rests")
+    is_b = F.col("indexed") & ~F.col("extra")
+    most = p.groupBy("t").agg(
+        *[F.max(f"s{f}").alias(f"a{f}") for f in range(3)], *[F.max(F.when(is_b, F.col(f"s{f}"))).alias(f"b{f}") for f in range(3)],
+        F.ceil(F.count(F.lit(1)) / block).alias("na"), F.ceil(F.count(F.when(is_b, 1)) / block).alias("nb"),
+    ).where("nb > 0")
+    bound = lambda other: sum((use[name] * F.col(f"s{f}") * F.col(f"{other}{f}") for f, name in enumerate(FEATURES)), F.lit(0.0)) >= least - 1e-7
+    met = p.join(most, "t").withColumn("own_a", F.pmod(F.xxhash64("id"), "na")).withColumn("own_b", F.pmod(F.xxhash64("id"), "nb"))
+    sides = F.array(
+        F.when(bound("b"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda j: F.struct(F.lit(0).alias("side"), F.col("own_a").alias("i"), j.alias("j")))),
+        F.when(bound("a") & is_b, F.transform(F.sequence(F.lit(0).cast("long"), F.col("na") - 1), lambda i: F.struct(F.lit(1).alias("side"), i.alias("i"), F.col("own_b").alias("j")))),
+    )
+    spread = met.select("t", "id", "k", "rest", F.explode(F.flatten(F.array_compact(sides))).alias("g")).select("t", "g.i", "g.j", "g.side", "id", "k", "rest")
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    ready = spread.repartition(parts, "t", "i", "j").sortWithinPartitions("t", "i", "j")
+    found = ready.mapInArrow(_multiply([use[f] for f in FEATURES], least, [enough[f] for f in FEATURES], drop_uncategorised_pairs), "a long, b long, score double")
+    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def _multiply(use: list[float], least: float, enough: list[int], drop_uncategorised: bool):  # noqa: ANN202
+    """Blocks of rests arrive in order; each is multiplied when the next begins."""
+
+    def products(side, ids, k, at, t, f, w, extra):  # noqa: ANN001, ANN202
+        import numpy as np
+
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(a) or not len(b):
+            return None
+        owner = np.repeat(np.arange(len(side)), np.diff(at))
+        row = np.empty(len(side), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
+        of_a = side[owner] == 0
+        of_b = ~of_a & ~extra
+        common = np.intersect1d(t[of_a], t[of_b])
+        dots = np.zeros((len(a), len(b)))
+        n = [np.zeros((len(a), len(b))) for _ in range(3)]
+        col = np.minimum(np.searchsorted(common, t), len(common) - 1)
+        hit = common[col] == t
+        for lo in range(0, len(common), 2048):
+            inside = hit & (col >= lo) & (col < lo + 2048)
+            width = min(2048, len(common) - lo)
+            for kind in range(3):
+                x, y = inside & of_a & (f == kind), inside & of_b & (f == kind)
+                if not x.any() or not y.any():
+                    continue
+                used = np.unique(col[x]) - lo
+                place = np.zeros(width, np.int64)
+                place[used] = np.arange(len(used))
+                y &= np.isin(col - lo, used)
+                left, right = np.zeros((len(a), len(used))), np.zeros((len(used), len(b)))
+                left[row[owner[x]], place[col[x] - lo]] = 1.0
+                right[place[col[y] - lo], row[owner[y]]] = 1.0
+                n[kind] += left @ right
+                if kind < 2 and use[kind]:
+                    left[row[owner[x]], place[col[x] - lo]] = w[x]
+                    right[place[col[y] - lo], row[owner[y]]] = w[y]
+                    dots += use[kind] * (left @ right)
+        union = k[a][:, None] + k[b][None, :] - n[2]
+        known = union > 0
+        score = dots + use[2] * np.divide(n[2], union, out=np.zeros_like(union), where=known)
+        ok = (score >= least - 1e-7) & (ids[a][:, None] != ids[b][None, :])
+        if drop_uncategorised:
+            ok &= known
+        ok &= (n[0] >= enough[0]) | (n[1] >= enough[1]) | (n[2] >= enough[2])
+        i, j = np.nonzero(ok)
+        return ids[a][i], ids[b][j], score[i, j]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import numpy as np
+        import pyarrow as pa
+
+        held: list[pa.Table] = []
+
+        def work(table: pa.Table):  # noqa: ANN202
+            """Products of all whole groups of a table."""
+            c = {n: table.column(n).combine_chunks() for n in table.column_names}
+            num = {n: c[n].to_numpy(zero_copy_only=False) for n in ("t", "i", "j", "side", "id", "k")}
+            lists = c["rest"]
+            at = lists.offsets.to_numpy()
+            flat = lists.values
+            ft, ff, fw, fe = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("t", "f", "w", "extra"))
+            new = np.ones(len(num["t"]), bool)
+            new[1:] = (num["t"][1:] != num["t"][:-1]) | (num["i"][1:] != num["i"][:-1]) | (num["j"][1:] != num["j"][:-1])
+            heads = np.append(np.flatnonzero(new), len(new))
+            out = []
+            for lo, hi in zip(heads[:-1], heads[1:]):
+                if hi - lo > 1:
+                    x, y = at[lo], at[hi]
+                    got = products(num["side"][lo:hi], num["id"][lo:hi], num["k"][lo:hi], at[lo : hi + 1] - x, ft[x:y], ff[x:y], fw[x:y], fe[x:y])
+                    if got is not None and len(got[0]):
+                        out.append(got)
+            cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["a", "b", "score"])
+
+        def key(table: pa.Table, k: int) -> tuple:
+            return tuple(table.column(n)[k].as_py() for n in ("t", "i", "j"))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held and key(table, 0) == key(table, table.num_rows - 1) == key(held[-1], held[-1].num_rows - 1):
+                held.append(table)
+                continue
+            # the last group may go on in the next batch
+            last, first = key(table, table.num_rows - 1), table.num_rows - 1
+            t, i, j = (table.column(n).to_numpy() for n in ("t", "i", "j"))
+            first = int(np.argmax((t == last[0]) & (i == last[1]) & (j == last[2])))
+            if first or held:
+                yield work(pa.concat_tables([*held, table.slice(0, first)]))
+            held = [table.slice(first)]
+        if held:
+            yield work(pa.concat_tables(held))
+
+    return run
+
+
 def nearest_neighbors(
     words: DataFrame, locations: DataFrame, all_locations: DataFrame, categories: DataFrame, located: DataFrame,
-    weights: Weights = Weights(), settings: Settings = DEFAULTS, max_postings: int | None = None, drop_uncategorised_pairs: bool = True,
+    weights: Weights = Weights(), settings: Settings = DEFAULTS, drop_uncategorised_pairs: bool = True,
 ) -> DataFrame:
     """``title, neighbor, score, rank``: up to ``most_neighbors`` located titles most similar to each title.
 
@@ -91,49 +232,52 @@ def nearest_neighbors(
     compared if it shares two words, a location or a category; a feature of weight 0 makes no candidates. Query titles' locations count for candidates
     beyond the vector's cut (``all_locations``). Pairs in which neither has a category have no Jaccard similarity and are dropped,
     unless told otherwise (then it is 0). Scores below ``least_similarity``, as single-precision numbers, do not count; ties go to the smaller neighbour.
+    Only pairs that can reach that similarity are formed (:func:`blocked_pairs`).
     """
     use = {"words": weights.words, "locations": weights.locations, "categories": weights.categories}
-    rows = postings(words, locations, categories, located)
-    rows = rows.where(F.col("feature").isin([f for f, w in use.items() if w > 0]))
-    index = rows.where("has_coords")
-    query = rows
+    enough = {"words": settings.least_common_words, "locations": settings.least_common_locations, "categories": settings.least_common_categories}
+    if min(enough.values()) < 1:
+        raise ValueError("thresholds must be positive")
+    enough = {f: k if use[f] > 0 else 1 << 30 for f, k in enough.items()}
+    rows = postings(words, locations, categories, located).select("feature", "term", "title", "score", F.col("has_coords").alias("indexed"), F.lit(False).alias("extra"))
+    # the categories of a title count for its Jaccard similarities even if they make no candidates
+    rows = rows.where(F.col("feature").isin([f for f, w in use.items() if w > 0 or (f == "categories" and drop_uncategorised_pairs)]))
     if weights.locations > 0:
         beyond = all_locations.select("title", F.col("location").alias("term")).distinct().join(rows.where("feature = 'locations'").select("title", "term"), ["title", "term"], "left_anti")
-        query = query.select("feature", "term", "title", "score").unionByName(beyond.select(F.lit("locations").alias("feature"), "term", "title", F.lit(0.0).alias("score")))
-    held = categories.select("title", "category").distinct().groupBy("title").agg(F.count(F.lit(1)).alias("k"))
-    ids, (q, x, held) = _numbered(query.select("feature", "term", "title", "score"), index.select("feature", "term", "title", "score"), held)
-    right = x.select("feature", "term", F.col("id").alias("b"), F.col("score").alias("other"))
-    if max_postings:
-        right = right.join(x.groupBy("feature", "term").count().where(F.col("count") <= max_postings).select("feature", "term"), ["feature", "term"], "left_semi")
-    # one sum for the weighted products and one for the three counts, twenty bits each: pairs are many, so their rows are kept short
-    share, unit = F.lit(0.0), F.lit(0).cast("long")
-    for k, f in enumerate(FEATURES):
-        share = F.when(F.col("feature") == f, use[f] if f != "categories" else 0.0).otherwise(share)
-        unit = F.when(F.col("feature") == f, F.lit(1 << (20 * k)).cast("long")).otherwise(unit)
-    left = q.select("feature", "term", F.col("id").alias("a"), (F.col("score") * share).alias("score"), unit.alias("unit"))
-    met = salted_join(left, right, ["feature", "term"], "a", 256).where("a <> b")
-    pair = met.groupBy("a", "b").agg(F.sum(F.col("score") * F.col("other")).alias("dots"), F.sum("unit").alias("units"))
-    part = lambda k: F.shiftright("units", 20 * k).bitwiseAND(F.lit((1 << 20) - 1))
-    pair = pair.select("a", "b", "dots", *[part(k).alias(n) for k, n in enumerate(("n_w", "n_l", "n_c"))])
-    pair = pair.where((F.col("n_w") >= settings.least_common_words) | (F.col("n_l") >= settings.least_common_locations) | (F.col("n_c") >= settings.least_common_categories))
-    # Jaccard similarity is at most 1: most pairs go before their categories are looked up
-    pair = pair.where(F.col("dots") + F.when(F.col("n_c") > 0, weights.categories).otherwise(0.0) >= settings.least_similarity - 1e-7)
-    pair = pair.join(held.select(F.col("id").alias("a"), F.col("k").alias("k_a")), "a", "left").join(held.select(F.col("id").alias("b"), F.col("k").alias("k_b")), "b", "left")
-    union = F.coalesce("k_a", F.lit(0)) + F.coalesce("k_b", F.lit(0)) - F.col("n_c")
-    jaccard = F.when(union > 0, F.col("n_c") / F.when(union > 0, union)).otherwise(F.lit(None) if drop_uncategorised_pairs else F.lit(0.0))
-    score = F.col("dots") + weights.categories * jaccard
-    scored = pair.select("a", "b", score.alias("score")).where(F.col("score").cast("float").cast("double") >= settings.least_similarity)
+        rows = rows.unionByName(beyond.select(F.lit("locations").alias("feature"), "term", "title", F.lit(0.0).alias("score"), F.lit(False).alias("indexed"), F.lit(True).alias("extra")))
+    rows, _ = cut(rows, "postings")
+    ids, (rows,) = _numbered(rows)
+    pair = blocked_pairs(rows, use, settings.least_similarity, enough, drop_uncategorised_pairs)
+    scored = pair.where(F.col("score").cast("float").cast("double") >= settings.least_similarity)
     best = Window.partitionBy("a").orderBy(F.desc(F.round("score", 9)), "b")
     ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= settings.most_neighbors)
     return _named(ranked, ids).select("title", "neighbor", "score", "rank")
 
 
+def similar_titles(rows: DataFrame, feature: str, least: float) -> DataFrame:
+    """``title, neighbor, score``: pairs of a title and one with a position (``has_coords``) whose vectors of one feature have a cosine of at least ``least`` (to 1e-7).
+
+    ``rows`` are postings; vectors have length 1.
+    """
+    use = {f: float(f == feature) for f in FEATURES}
+    own = rows.where(F.col("feature") == feature).select("feature", "term", "title", "score", F.col("has_coords").alias("indexed"), F.lit(False).alias("extra"))
+    own, _ = cut(own, "postings")
+    ids, (own,) = _numbered(own)
+    return _named(blocked_pairs(own, use, least, dict.fromkeys(FEATURES, 1), False), ids).select("title", "neighbor", "score")
+
+
 def verified(neighbors: DataFrame, titles: DataFrame) -> DataFrame:
     """Without neighbours that are no known title, and without titles beside themselves."""
     known = titles.select(F.col("title").alias("neighbor")).distinct()
     return neighbors.where("title <> neighbor").join(known, "neighbor", "left_semi")
 
 
+def ordered_ids(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """``rows`` (distinct) with numbers that ascend in the order of the columns ``by``, with gaps; nothing is ordered in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(name, F.monotonically_increasing_id())
+
+
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """``column, id``: ids from 0 in the order of the distinct values, without ordering them in one task.
 

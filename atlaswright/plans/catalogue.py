@@ -254,7 +254,8 @@ def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH {_POST}, {_COMMON} SELECT title, neighbor, round(dot, 6) AS cosine FROM common WHERE feature = 'words' AND round(dot, 6) >= 0.1")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return _common(spark, sf, "words", "round(dot, 6) >= 0.1").select("title", "neighbor", F.round("dot", 6).alias("cosine"))
+    pairs = neighbors.similar_titles(_postings(spark, sf), "words", 0.0999995).withColumn("cosine", F.round("score", 6))
+    return pairs.where("cosine >= 0.1").select("title", "neighbor", "cosine")
 
 
 @_query("SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm, round(list_sum(list_transform(range(1, len(embedding)), lambda i: CAST(embedding[i] AS DOUBLE) * embedding[i + 1])), 6) AS shifted FROM embeddings")
