@@ -147,7 +147,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 2048, p
     parts = parts.select("source", "block", "doc_id", start.alias("from_token"), end.alias("to_token"))
 
     chosen = _chosen(spark, shards, per_shard, [(s, due[s], blocks[s]) for s in names if due[s]], seed)
-    drawn = chosen.join(parts, ["source", "block"]).select("shard", "slot", "source", "use", "doc_id", "from_token", "to_token", (F.col("to_token") - F.col("from_token")).alias("n_tokens"))
+    # the slots are far more than the size of the shards' numbers suggests, so they must not be taken for a side to broadcast
+    drawn = chosen.join(parts.hint("merge"), ["source", "block"]).select("shard", "slot", "source", "use", "doc_id", "from_token", "to_token", (F.col("to_token") - F.col("from_token")).alias("n_tokens"))
 
     sums = drawn.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.max("use").alias("uses"))
     report = facts.join(sums, "source", "left").withColumn("drawn_tokens", F.coalesce("drawn_tokens", F.lit(0))).withColumn("all", F.sum("drawn_tokens").over(Window.partitionBy()))
