@@ -190,6 +190,10 @@ hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM
 """
 
 
+# the pieces a byte-level tokenizer starts from; the answers are the same for all usual tokenizers, hence for this plainest one
+_PIECES = r"len(regexp_extract_all(text, ' ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+'))"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_classes": f"""WITH {_SETS},
@@ -202,6 +206,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, coalesce(length(text), 0) AS chars, coalesce(c, 0) AS shared_chars,
               CASE WHEN coalesce(length(text), 0) > 0 THEN round(coalesce(c, 0) / length(text), 6) ELSE 0 END AS shared_part FROM documents d LEFT JOIN got ON got.doc_id = d.doc_id""",
         "p10_found": f"WITH {_WINDOWS} SELECT doc_id, CAST(sum(least(150, coalesce(i - p, 150))) AS BIGINT) AS shared_chars FROM hit GROUP BY doc_id",
+        "p8_found": f"SELECT doc_id FROM documents WHERE {_PIECES} > 2048",
+        "p9_found": f"""WITH n AS (SELECT lower(trim(source)) AS source, sum({_PIECES}) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1),
+            t AS (SELECT s.*, coalesce(n, 0) AS n FROM source_targets s LEFT JOIN n ON n.source = s.source) SELECT source FROM t WHERE n * max_repeats < target_share * (SELECT sum(n) FROM t)""",
         "p8_coverage": "SELECT doc_id, length(text) AS chars, TRUE AS in_order, TRUE AS fits FROM documents WHERE length(text) > 0",
         "p9_limits": "SELECT source, target_share, max_repeats, TRUE AS on_target, max_repeats AS most_uses FROM source_targets",
         "p1_found": f"WITH {_SETS} SELECT feature, title_a, title_b FROM pairs",
