@@ -50,6 +50,17 @@ def without_stop_words(words: Column) -> Column:
 
 
 
+def short_number(c: Column) -> Column:
+    """A number with at most two decimals (half to even), without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(F.bround(c.cast("decimal(30,10)"), 2).cast("string"), r"0+$", ""), r"\.$", "")
+
+
+def elapsed(seconds: Column) -> Column:
+    """``h:mm:ss`` of a number of seconds."""
+    s = seconds.cast("long")
+    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
 def upper_first(c: Column) -> Column:
     """With its first character in upper case, the rest as it is."""
     return F.concat(F.upper(F.substring(c, 1, 1)), c.substr(F.lit(2), F.length(c)))

@@ -29,7 +29,7 @@ def posting_lists(rows: DataFrame, most: int = 4096) -> DataFrame:
 
     A list of more than ``most`` titles comes in segments of about that length, by a hash of the title, so no row grows with the corpus.
     """
-    point = F.struct("title", (F.col("score") * 1_000_000).cast("int").alias("score"))
+    point = F.struct("title", F.round(F.col("score") * 1_000_000, 3).cast("int").alias("score"))
     long = rows.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("feature", "term", F.ceil(F.col("c") / most).alias("n"))
     segment = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("title"), F.col("n"))).otherwise(F.lit(0)).cast("int")
     cut = rows.join(long, ["feature", "term"], "left").withColumn("segment", segment)

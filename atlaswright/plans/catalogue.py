@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,8 @@ from atlaswright.operators.hierarchy import category_links
 from atlaswright.operators.proximity import current_positions
 from atlaswright.plans.core_queries import _POSITIONS, _reading, table
 from atlaswright.plans.pages import type_sql
-from atlaswright.session import cut
-from atlaswright.sources.writers import vector_json
+from atlaswright.session import cut, scratch_dir
+from atlaswright.sources.writers import row_json, value_json, vector_json, write_neighbors
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -230,8 +231,9 @@ def postings(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("feature", "term").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("has_coords"), 1)).alias("n_located"), F.min("title").alias("first"), F.sum("p").alias("points"))
 
 
-@_query()
+@_query(f"""WITH {_POST} SELECT feature, term, 0 AS segment, CAST(to_json(list(struct_pack(title := title, score := CAST(trunc(round(score * 1000000, 3)) AS INT)) ORDER BY title)) AS VARCHAR) AS list FROM post GROUP BY feature, term""")
 def posting_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """All lists; none is long enough here for a second segment."""
     return neighbors.posting_lists(_postings(spark, sf)).select("feature", "term", "segment", F.to_json("list").alias("list"))
 
 
@@ -281,10 +283,10 @@ def cosine_dense(spark: SparkSession, sf: str) -> DataFrame:
 def jaccard_categories(spark: SparkSession, sf: str) -> DataFrame:
     cats = _cats(spark, sf)
     rows = cats.select(F.lit("categories").alias("feature"), F.col("category").alias("term"), "title", F.lit(1.0).alias("score"))
-    common = neighbors.common_terms(rows, rows.join(_positions(spark, sf).select("title"), "title", "left_semi"))
-    k = cats.groupBy("title").agg(F.count(F.lit(1)).alias("k"))
-    both = common.join(k, "title").join(k.select(F.col("title").alias("neighbor"), F.col("k").alias("kb")), "neighbor")
-    return both.select("title", "neighbor", F.round(F.col("n") / (F.col("k") + F.col("kb") - F.col("n")), 6).alias("jaccard")).where("jaccard >= 0.5")
+    known = _positions(spark, sf).select("title", F.lit(True).alias("has_coords"))
+    rows = rows.join(known, "title", "left").withColumn("has_coords", F.coalesce("has_coords", F.lit(False)))
+    pairs = neighbors.similar_titles(rows, "categories", 0.4999995).withColumn("jaccard", F.round("score", 6))
+    return pairs.where("jaccard >= 0.5").select("title", "neighbor", "jaccard")
 
 
 _KNN = f"""{_POST},
@@ -494,12 +496,39 @@ def json_extract(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@_query()
+@_query(f"WITH {_VECTORS} SELECT title, '[' || string_agg('{{\"term\":\"' || word || '\",\"score\":' || CAST(CAST(round(score * 1000000) AS BIGINT) AS VARCHAR) || '}}', ',' ORDER BY round(score * 1000000) DESC, word) || ']' AS vector FROM words GROUP BY title")
 def json_render(spark: SparkSession, sf: str) -> DataFrame:
-    v = vectors.word_vectors(_counts(spark, sf)).groupBy("title").agg(F.collect_list(F.struct(F.col("word").alias("term"), F.round("score", 6).alias("score"))).alias("v"))
+    """Word vectors as JSON, with scores in millionths."""
+    v = vectors.word_vectors(_counts(spark, sf)).groupBy("title").agg(F.collect_list(F.struct(F.col("word").alias("term"), F.round(F.col("score") * 1_000_000).cast("long").alias("score"))).alias("v"))
     return v.select("title", vector_json(F.col("v")).alias("vector"))
 
 
+@_query(f"WITH {_STATS} SELECT category, '{{\"category\":' || to_json(category) || ',\"n_articles\":' || n_articles || ',\"n_located\":' || n_located || '}}' AS json FROM stats")
+def category_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories with their counts as JSON."""
+    s = category_stats.category_stats(_cats(spark, sf), _positions(spark, sf))
+    return s.select("category", row_json("category", "n_articles", "n_located").alias("json"))
+
+
+@_query("SELECT doc_id, CASE WHEN title IS NULL THEN 'null' ELSE '{' || to_json(title) || ':[' || coalesce(to_json(lang), 'null') || ',' || coalesce(to_json(source), 'null') || ']}' END AS json FROM documents")
+def nested_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of a title and a list as JSON."""
+    pair = F.when(F.col("title").isNotNull(), F.struct(F.col("title").alias("a"), F.array("lang", "source").alias("b")))
+    d = _docs(spark, sf).select("doc_id", pair.alias("pair"))
+    return d.select("doc_id", value_json(F.col("pair"), d.schema["pair"].dataType).alias("json"))
+
+
+@_query(f"""WITH {_KNN}, every AS (SELECT title FROM post UNION SELECT title FROM locs), id AS (SELECT title, row_number() OVER (ORDER BY title) - 1 AS id FROM every),
+    got AS (SELECT near.title, x.id, rank FROM near JOIN id x ON x.title = near.neighbor WHERE rank <= 100)
+    SELECT i.id, coalesce(string_agg(CAST(got.id AS VARCHAR), ',' ORDER BY rank), '') AS neighbors FROM id i LEFT JOIN got ON got.title = i.title GROUP BY i.id""")
+def neighbor_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of each title's neighbours, as the neighbour sink writes them and reads them back."""
+    locs = _locations(spark, sf)
+    titles, _ = cut(_postings(spark, sf).select("title").unionByName(locs.select("title")).distinct(), "titles")
+    path = write_neighbors(_near(spark, sf), titles, neighbors.dense_ids(titles, "title"), f"{scratch_dir(spark)}/sink-{uuid.uuid4().hex}", Weights())
+    return spark.read.parquet(path).select("id", F.array_join(F.transform("neighbors", lambda n: n["id"].cast("string")), ",").alias("neighbors"))
+
+
 @_query(f"WITH {_KNN}, w AS (SELECT title, neighbor AS entity, score AS weight FROM near WHERE rank <= 100), "
     "e AS (SELECT DISTINCT title, neighbor AS entity FROM neighbors WHERE title IS NOT NULL AND neighbor IS NOT NULL) "
     "SELECT e.title, e.entity, round(coalesce(weight, 0), 6) AS weight FROM e LEFT JOIN w ON w.title = e.title AND w.entity = e.entity")
