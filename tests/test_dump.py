@@ -5,13 +5,17 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from atlaswright import session
+from atlaswright.config import Weights
 from atlaswright.functions import wikitext as W
 from atlaswright.functions.coordinate_templates import template_position
+from atlaswright.functions.text import elapsed, short_number
 from atlaswright.operators.article_types import article_types
 from atlaswright.operators.articles import build_features
 from atlaswright.operators.entities import named_locations
 from atlaswright.operators.signals import is_a_in, located_at
 from atlaswright.sources import readers as R
+from atlaswright.sources.writers import value_json, write_neighbors
 
 
 def page(title, body, head=""):
@@ -69,6 +73,10 @@ def one(spark, column, **values):
         ("{{Coord|12|N|3|E|display=title|globe:moon}}", None, None),
         ("&lt;!-- {{Coord|12|N|3|E|display=title}} --&gt;", None, None),
         ("{{Coord|12|N|3|E}}", None, None),
+        ("{{Coord|10|20}} inline\nand\n{{Coord|30|40|display=title}}", 30, 40),
+        ("{{Coord|38&lt;!--42--&gt;|53|14.31|N|77|1|19.98|W|display=title}}", 38.887308, -77.022217),
+        ("&lt;!--{{Coord|12|N|3|E|display=title}}--&gt; {{Coord|13|N|4|E|display=title}}", 13, 4),
+        ("{{Coord|12|N|3|E\n|display=title}}", None, None),
         ("", None, None),
     ],
 )
@@ -118,6 +126,20 @@ def test_located_at_cancelled(spark):
     assert at("It is located in [[Paris]], 20 km north.") == []
     assert at("It was. Found in [[Paris]].") == []
     assert at("It is located in [[Paris, Texas]]" + " a" * 80 + " [[Paris]].") == []
+    assert at("It is located in [[paris]].") == ["Paris"] and at("It is located near [[PARIS|the town]].") == []
+    assert at("It is located in [[Paris]], 20 KM north.") == at("It is located in [[Paris]] {{Convert|20|km}} north.") == []
+    assert at("It is located in new [[Paris]].") == [] and at("It is\n \nlocated in a\n \n[[Paris]].") == []
+    assert at("It is headquartered in [[Rome]] and located in [[Paris]].") == ["Paris"]
+
+
+def test_scattered_entities_and_their_redirects(spark):
+    raw = "It is located in [[Paris]] and [[Byron]]."
+    pages = spark.createDataFrame([("T", raw, raw.replace("[[", "").replace("]]", ""))], "title string, raw string, clean string")
+    pos = spark.createDataFrame([("Paris", 48.0, 2.0), ("Byron_Bay", -28.6, 153.6)], "title string, lat double, lon double")
+    hops = spark.createDataFrame([("Byron", "Byron Bay", "Byron_Bay")], "title string, target_raw string, target string")
+    fine = lambda p: spark.createDataFrame([("Paris", 5), ("Byron_Bay", p)], "title string, priority int")
+    assert located_at(pages, hops, pos, fine(5)).count() == 0
+    assert [r.location for r in located_at(pages, hops, pos, fine(2)).collect()] == ["Paris"]
 
 
 def test_types(spark):
@@ -145,12 +167,19 @@ def test_is_a_in_needs_period(spark):
     assert go("'''T''' is a town in [[Paris]].") == [("Paris", 0)]
     assert go("'''T''' is a town in [[Paris]]") == []
     assert go("'''T''' is a town in [[Paris]], 12 km away.") == []
+    assert go("'''T''' . is a town in [[Paris]].") == [("Paris", 0)] and go("'''T''' old. is a town in [[Paris]].") == []
 
 
 def test_replies_and_files(spark, tmp_path):
     reply = json.dumps({"query": {"categorymembers": [{"pageid": 1, "ns": 14, "title": "Category:Fields of history"}]}, "continue": {"cmcontinue": "page|x"}})
     assert one(spark, R.member_names(F.col("t")), t=reply) == ["Fields_of_history"]
     assert one(spark, R.continuation(F.col("t")), t=reply) == "page|x"
+    own = json.dumps({"query": {"categorymembers": [{"title": "Category:A b"}, {"title": "Category:C"}, {"title": "Category:A b"}]}})
+    assert one(spark, R.member_names(F.col("t"), F.col("c")), t=own, c="A b") == ["C", "A_b"] and one(spark, R.member_names(F.col("t"), F.col("c")), t=own, c="C") == ["A_b", "C", "A_b"]
+    assert one(spark, R.member_names(F.col("t"), F.col("c")), t="{}", c="C") == [] and one(spark, R.member_names(F.col("t")), t='{"query":') is None
+    got, more, bad = R.member_links(spark.createDataFrame([("A", reply), ("B", "{"), ("C", None)], "category string, reply string"))
+    assert [tuple(r) for r in got.collect()] == [("A", ["Fields_of_history"])] and more.first()["cmcontinue"] == "page|x" and bad.first()["rejected"] == 2
+    assert one(spark, R.views_url(F.col("t"), "x/%s/y"), t="Ä b&c") == "x/%C3%84+b%26c/y"
     assert one(spark, R.view_counts(F.col("t")), t='{"items":[{"views":3.0},{"views":null}]}') == [3, None]
     (tmp_path / "c.sql").write_text("INSERT INTO `category` VALUES (1,'A,_b',2),(2,'It\\'s',3),(3,'A,_b',4);\nother\n")
     assert {r.name for r in R.read_category_names(spark, f"file://{tmp_path}/c.sql").collect()} == {"A,_b", "It's"}
@@ -158,3 +187,72 @@ def test_replies_and_files(spark, tmp_path):
     (tmp_path / "t" / "1.txt").write_text("1\tA b\t[x y|||Category:Z]\n2\tC\t[]\n")
     got = [(r.counter, r.category, r.subcategories) for r in R.read_subcategories(spark, f"file://{tmp_path}/t").orderBy("counter").collect()]
     assert got == [(1, "A b", ["x y", "Category:Z"]), (2, "C", [])]
+
+
+def test_json_of_any_value(spark):
+    row = [("a", [1.5, None], {"k\"": True}, {"n": "x", "v": ["y", "z"]}, 7), (None, None, None, None, None)]
+    df = spark.createDataFrame(row, 's string, l array<double>, m map<string, boolean>, p struct<n: string, v: array<string>>, i int')
+    texts = df.select(*[value_json(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns]).collect()
+    assert [json.loads(t) for t in texts[0]] == ["a", [1.5, None], {'k"': True}, {"x": ["y", "z"]}, 7] and set(texts[1]) == {"null"}
+
+
+def test_neighbor_sink(spark, tmp_path):
+    near = spark.createDataFrame([("A", "C", 0.5, 2), ("A", "B", 0.9, 1)], "title string, neighbor string, score double, rank int")
+    titles = spark.createDataFrame([("A",), ("B",)], "title string")
+    ids = spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "title string, id bigint")
+    path = write_neighbors(near, titles, ids, f"file://{tmp_path}", Weights())
+    assert {r.id: [(n.id, round(n.score, 3)) for n in r.neighbors] for r in spark.read.parquet(path).collect()} == {0: [(1, 0.9), (2, 0.5)], 1: []}
+    with pytest.raises(Exception, match="exist"):
+        write_neighbors(near, titles, ids, f"file://{tmp_path}", Weights())
+
+
+def test_numbers_and_times(spark):
+    rows = spark.createDataFrame([(1.0,), (0.126,), (2.5,), (None,)], "x double")
+    assert [r.y for r in rows.select(short_number(F.col("x")).alias("y")).collect()] == ["1", "0.13", "2.5", None]
+    assert rows.limit(1).select(elapsed(F.lit(3725)).alias("y")).first()["y"] == "1:02:05"
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    class Conf:
+        def get(self, *_):  # noqa: ANN002, ANN201
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: ANN201, N802
+            return Conf()
+
+        def getCheckpointDir(self):  # noqa: ANN201, N802
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="share"):
+        session.scratch_dir(Session())
+
+
+def test_cut_tables_go_when_nothing_reads_them(spark):
+    import gc
+    import os
+    import time
+
+    table, path = session.cut(spark.range(5), "gone")
+    other = table.where("id > 2")
+    del table
+    for _ in range(20):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+    session.cut(spark.range(1), "next")
+    assert other.count() == 2 and os.path.exists(path.removeprefix("file://"))
+    del other
+    for _ in range(60):
+        gc.collect()
+        spark.range(3).collect()
+        spark.sparkContext._jvm.System.gc()
+        session.cut(spark.range(1), "next")
+        if not os.path.exists(path.removeprefix("file://")):
+            return
+    pytest.fail("the table is still there")

@@ -207,3 +207,22 @@ def test_salted_join_and_segments(spark):
     rows = left.where("k is not null").select(F.lit("f").alias("feature"), F.col("k").alias("term"), F.col("x").cast("string").alias("title"), F.lit(0.5).alias("score"))
     lists = neighbors.posting_lists(rows, 8).collect()
     assert sum(len(r.list) for r in lists) == 51 and max(len(r.list) for r in lists) < 30
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_similar_titles_of_a_frequent_term(spark, block):
+    """A term that nearly all titles have; pairs against brute force, whatever the blocks."""
+    import math
+    import random
+
+    r = random.Random(block)
+    raw = {f"t{k:02}": {f"w{r.randint(0, 25)}": r.random() + 0.01 for _ in range(r.randint(1, 6))} | ({"all": r.random()} if k % 9 else {}) for k in range(60)}
+    unit = {t: {w: x / math.sqrt(sum(y * y for y in ws.values())) for w, x in ws.items()} for t, ws in raw.items()}
+    rows = [("words", w, t, x, t < "t45", False) for t, ws in unit.items() for w, x in ws.items()]
+    df = spark.createDataFrame(rows, "feature string, term string, title string, score double, indexed boolean, extra boolean")
+    ids, (own,) = neighbors._numbered(df)
+    pairs = neighbors.blocked_pairs(own, {"words": 1.0, "locations": 0.0, "categories": 0.0}, 0.5, dict.fromkeys(neighbors.FEATURES, 1), False, block)
+    got = {(x.title, x.neighbor): x.score for x in neighbors._named(pairs, ids).collect()}
+    dot = lambda a, b: sum(x * unit[b].get(w, 0.0) for w, x in unit[a].items())
+    want = {(a, b): dot(a, b) for a in unit for b in unit if a != b and b < "t45" and dot(a, b) >= 0.5 - 1e-7}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 100
