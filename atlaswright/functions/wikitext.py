@@ -15,6 +15,7 @@ TEMPLATE = r"(?s)\{\{[^{]*?}}"
 TABLE = r"(?s)\{[^{]*?}"
 SCRUBBED = [r"(?s)&lt;.*?&gt;", r"(=){1,3}.*\1", r"(&quot;)|(&amp;)|(nbsp;)|(wikt:)"]
 LINK = r"\[\[ *(.*?) *]]"
+MARKUP = r"\[\[|\{|=|&|nbsp;|wikt:"  # what any of the above needs
 CATEGORY = r"\[\[[Cc]ategory *: *(.*?)(\||]])"
 REDIRECT = r'<redirect\s+title\s*=\s*"(.*?)"\s*/\s*>'
 DROPPED_LINES = r"^\s*(Category:|\||!|\*|#|Image:)"
@@ -57,15 +58,16 @@ def from_bold_title(text: Column, title: Column) -> Column:
 def clean_text(text: Column, title: Column) -> Column:
     """Running text of a text section: links to their targets, no templates, tables, tags, headings or list lines.
 
-    Null text gives null, an empty one an empty string; a null title only skips the last step.
+    Null text gives null, an empty one an empty string; a null title only skips the last step. Texts without any markup skip the passes over it.
     """
+    bare = text
     for _ in range(3):
-        text = _links_to_text(text)
+        bare = _links_to_text(bare)
     for pattern in [TEMPLATE] * 3 + [TABLE] * 3:
-        text = F.regexp_replace(text, pattern, "")
+        bare = F.regexp_replace(bare, pattern, "")
     for pattern in SCRUBBED:
-        text = F.regexp_replace(text, pattern, " ")
-    text = without_dropped_lines(text)
+        bare = F.regexp_replace(bare, pattern, " ")
+    text = without_dropped_lines(F.when(text.rlike(MARKUP), bare).otherwise(text))
     return F.when(title.isNull(), text).otherwise(from_bold_title(text, title))
 
 
