@@ -94,7 +94,7 @@ def numbered_values(rows: DataFrame, bits: int = 63) -> DataFrame:
     shuffle); such values, a handful among ten billion, are numbered one by one above all hashes.
     """
     hashed = lambda *c: F.shiftright(F.xxhash64(*c), 64 - bits)
-    rows = rows.withColumn("v", hashed("part", "value"))
+    rows, _ = cut(rows.withColumn("v", hashed("part", "value")), "values")  # read twice
     clash = rows.select("part", "value", "v").distinct().groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("part", "value"))).alias("who")).where("n > 1")
     clash, _ = cut(clash.select("v", "who"), "clashes")
     if clash.isEmpty():
@@ -214,17 +214,22 @@ def feature_rows(categories: DataFrame, named_locations: DataFrame) -> DataFrame
     return c.unionByName(loc)
 
 
-def expand(pairs: DataFrame, members: DataFrame) -> DataFrame:
+def expand(pairs: DataFrame, members: DataFrame, most: int = 2000) -> DataFrame:
     """``part, record_a, record_b`` of all similar records; the size is that of the result, equal sets included.
 
-    Classes of many records are salted: a set that a third of all records have gives its pairs in many tasks.
+    Where a class has more than ``most`` records, joins on classes are salted: a set that a third of all records have gives its pairs in many tasks.
     """
-    m = members.select("part", "class", "record")
+    m, _ = cut(members.select("part", "class", "record"), "members")
+    pairs, _ = cut(pairs, "pairs")
+    crowded = not m.groupBy("part", "class").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).isEmpty()
+
+    def joined(left: DataFrame, right: DataFrame, key: str, record: str) -> DataFrame:
+        return salted_join(left, right, ["part", key], record, most) if crowded else left.join(right, ["part", key])
+
     of = lambda c, r: m.select("part", F.col("class").alias(c), F.col("record").alias(r))
-    first = salted_join(of("class_a", "x"), pairs, ["part", "class_a"], "x", 2000)
-    across = salted_join(of("class_b", "y"), first, ["part", "class_b"], "y", 2000)
+    across = joined(of("class_b", "y"), joined(of("class_a", "x"), pairs, "class_a", "x"), "class_b", "y")
     across = across.select("part", F.least("x", "y").alias("record_a"), F.greatest("x", "y").alias("record_b"))
-    within = salted_join(of("class", "record_a"), of("class", "record_b"), ["part", "class"], "record_a", 2000).where("record_a < record_b")
+    within = joined(of("class", "record_a"), of("class", "record_b"), "class", "record_a").where("record_a < record_b")
     return across.unionByName(within.select("part", "record_a", "record_b"))
 
 
