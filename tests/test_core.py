@@ -152,7 +152,7 @@ def test_deep_layers_of_two(spark):
     links = [(f"{g}{a}{k:03}", f"{g}{b}{k + 1:03}") for g in "mn" for k in range(199) for a in "xy" for b in "xy"]
     links += [("nx199", "l"), ("l", "m"), ("m", "l"), ("m", "end")] + [("mx199", "leaf")]
     df = spark.createDataFrame(links, "parent string, child string")
-    got = {r.node: (r.root, r.depth, r.path) for r in hierarchies(df.select(F.col("child").alias("node")), df, paths=True, finish=100).collect()}
+    got = {r.node: (r.root, r.depth, r.path) for r in hierarchies(df.select(F.col("child").alias("node")), df, paths=True, finish=400).collect()}
     assert len(got) == 804 and got["my199"][:2] == ("mx000", 199) and got["nx150"][2] == [f"nx{k:03}" for k in range(151)]
     assert got["leaf"][:2] == ("mx000", 200) and got["end"] == got["l"] == got["m"] == ("", -1, None)
 
