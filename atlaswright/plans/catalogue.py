@@ -23,6 +23,7 @@ from atlaswright.operators.hierarchy import category_links
 from atlaswright.operators.proximity import current_positions
 from atlaswright.plans.core_queries import _POSITIONS, _reading, table
 from atlaswright.plans.pages import type_sql
+from atlaswright.plans.porter_sql import STEMS
 from atlaswright.session import cut, scratch_dir
 from atlaswright.sources.writers import row_json, value_json, vector_json, write_neighbors
 
@@ -161,7 +162,10 @@ def stopword_filter(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(without_stop_words(tokens(F.col("text"))), " ").alias("words"))
 
 
-@_query()
+@_query(
+    f"WITH words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT doc_id, {_TOKENS} AS ws FROM documents)), st0 AS (SELECT DISTINCT w FROM words), {STEMS}"
+    f" SELECT d.doc_id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (length(s) >= 3 AND NOT list_contains({_STOP}, s)), '') AS stems FROM documents d LEFT JOIN (SELECT doc_id, i, s FROM words JOIN stems ON stems.w = words.w) x ON x.doc_id = d.doc_id GROUP BY d.doc_id"
+)
 def porter_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", F.array_join(without_stop_words(stemmed(tokens(F.col("text")))), " ").alias("stems"))
 

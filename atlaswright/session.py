@@ -55,17 +55,24 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     for owner, old, index in list(_written):
-        if owner is spark and index.get() is None:
+        if owner is spark and index is not None and index.get() is None:
             forget(spark, old)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
-    # all plans made of this table share its file index
-    index = table._jdf.queryExecution().analyzed().relation().location()
-    _written.append((spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(index)))
+    _written.append((spark, path, _index(table)))
     return table, path
 
 
+def _index(table: DataFrame) -> object | None:
+    """A weak reference to the file index that all plans made of a table share; none if its plan has another form."""
+    try:
+        index = table._jdf.queryExecution().analyzed().relation().location()
+        return table.sparkSession.sparkContext._jvm.java.lang.ref.WeakReference(index)
+    except Exception:  # noqa: BLE001 - then the table stays until the end of the program
+        return None
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`cut`."""
     jvm = spark.sparkContext._jvm
