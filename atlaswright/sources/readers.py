@@ -74,6 +74,13 @@ def member_links(replies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return good.select("category", "subcategories"), more, rejected(replies, _well_formed(F.col("reply")))
 
 
+def read_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """``category, reply`` of a folder of fetched replies, one JSON file each, named after the URL-encoded category (``name.json`` or, of further pages, ``name~token.json``)."""
+    files = spark.read.option("wholetext", True).text(folder).select(F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("reply"))
+    name = F.regexp_extract("file", r"^(.*?)(~[^~]*)?\.json$", 1)
+    return files.where(F.length(name) > 0).select(F.url_decode(name).alias("category"), "reply")
+
+
 def rejected(rows: DataFrame, good: Column) -> DataFrame:
     """One row, ``rejected``: how many rows do not pass (null counts as not passing). Bad rows end no job; this says how many there were."""
     return rows.agg(F.count(F.when(~F.coalesce(good, F.lit(False)), 1)).alias("rejected"))

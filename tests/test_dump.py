@@ -179,6 +179,11 @@ def test_replies_and_files(spark, tmp_path):
     assert one(spark, R.member_names(F.col("t"), F.col("c")), t="{}", c="C") == [] and one(spark, R.member_names(F.col("t")), t='{"query":') is None
     got, more, bad = R.member_links(spark.createDataFrame([("A", reply), ("B", "{"), ("C", None)], "category string, reply string"))
     assert [tuple(r) for r in got.collect()] == [("A", ["Fields_of_history"])] and more.first()["cmcontinue"] == "page|x" and bad.first()["rejected"] == 2
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "Fields+of%2Fx.json").write_text(reply)
+    (tmp_path / "r" / "Fields+of%2Fx~page%7Cx.json").write_text(own)
+    links, more, bad = R.member_links(R.read_replies(spark, f"file://{tmp_path}/r"))
+    assert sorted(tuple(r) for r in links.collect()) == [("Fields of/x", ["A_b", "C", "A_b"]), ("Fields of/x", ["Fields_of_history"])] and bad.first()["rejected"] == 0
     assert one(spark, R.views_url(F.col("t"), "x/%s/y"), t="Ä b&c") == "x/%C3%84+b%26c/y"
     assert one(spark, R.view_counts(F.col("t")), t='{"items":[{"views":3.0},{"views":null}]}') == [3, None]
     (tmp_path / "c.sql").write_text("INSERT INTO `category` VALUES (1,'A,_b',2),(2,'It\\'s',3),(3,'A,_b',4);\nother\n")
