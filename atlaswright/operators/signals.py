@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from atlaswright.config import DEFAULTS
 from atlaswright.functions.geo import haversine_km
 from atlaswright.functions.text import normal_title, upper_first
+from atlaswright.session import cut
 
 # fixed values
 PHRASES = ["located in ", "located at ", "located outside ", "located inside ", "located east ", "located west ", "located north ", "located south ", "located near ", "headquartered in ", "headquartered at ", "found in "]
@@ -73,11 +74,16 @@ def located_at(pages: DataFrame, redirects: DataFrame, positions: DataFrame, typ
     redirect's) is a place, one without cancels shorter ones. The first starting word with a place left wins, with its longest
     group; a word after ``new`` starts none.
     """
-    w = phrase_windows(pages)
+    w, _ = cut(phrase_windows(pages), "windows")  # few, and read twice
     w = w.join(scattered(w, redirects, positions, types), ["title", "phrase"], "left_anti")
     starts = w.select("title", "phrase", "at", F.lower("window").alias("window"), "words", F.posexplode("words").alias("i", "first"))
     starts = starts.where((F.length("first") > 0) & ~F.coalesce(F.lower(F.get("words", F.col("i") - 1)) == "new", F.lit(False)))
-    grams = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("i"))))
+    # no group has more words than the longest linked name or redirect (one row)
+    pieces = lambda c: F.size(F.split(c, "[_ ]"))
+    longest = F.array_max(F.transform(F.regexp_extract_all("window", F.lit(ENTITY), 1), pieces))
+    starts = starts.join(F.broadcast(redirects.agg(F.max(pieces(F.col("title"))).alias("hop_words"))))
+    starts = starts.withColumn("most", F.least(F.size("words") - F.col("i"), F.greatest(longest, "hop_words"))).where("most >= 1")
+    grams = starts.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("most"))))
     text = F.regexp_replace(F.trim(F.array_join(F.expr("slice(words, i + 1, n)"), "_")), r"[,.;?!\-%#]$", "")
     grams = grams.select("title", "phrase", "at", "window", "i", "n", upper_first(text).alias("entity")).where(F.length("entity") > 0)
     hop = redirects.select(F.col("title").alias("entity"), F.col("target").alias("hop")).dropDuplicates(["entity"])

@@ -18,7 +18,7 @@ from atlaswright.operators import entities, signals, vectors
 from atlaswright.operators.article_types import PERSON_CATEGORIES, PRIORITY, STOP_AT, TYPES, VARIANTS, VERBS, article_type
 from atlaswright.operators.proximity import current_positions
 from atlaswright.plans.core_queries import _POSITIONS, _reading, table
-from atlaswright.session import scratch_dir
+from atlaswright.session import cut, scratch_dir
 from atlaswright.sources import readers, writers
 
 PATTERNS = [
@@ -81,7 +81,8 @@ def _raw_pages(spark: SparkSession, sf: str) -> DataFrame:
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     """``title, raw, text, clean, categories``, parsed."""
     p = _raw_pages(spark, sf).withColumn("text", page_text(F.col("raw")))
-    return p.withColumn("clean", clean_text(F.col("text"), F.col("title"))).withColumn("categories", page_categories(F.col("raw")))
+    p = p.withColumn("clean", clean_text(F.col("text"), F.col("title"))).withColumn("categories", page_categories(F.col("raw")))
+    return cut(p, "pages")[0]  # clean text is read many times
 
 
 def _hops(spark: SparkSession, sf: str) -> DataFrame:
