@@ -19,6 +19,10 @@ def test_candidate_union_never_shuffles_pairs(spark, sf):
     assert "Exchange" not in above_pairs(entry.queries()["candidate_union"](spark, sf))
 
 
+def test_posting_prune_k_never_shuffles_pairs(spark, sf):
+    assert "Exchange" not in above_pairs(entry.queries()["posting_prune_k"](spark, sf))
+
+
 @pytest.mark.parametrize("block", [7, 16_384])
 def test_pairs_in_common(spark, block):
     rng = random.Random(3)
