@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.geo import haversine_km
 from atlaswright.operators.skew import salted_join
+from atlaswright.session import cut
 
 
 def _units(c: str) -> Column:
@@ -47,35 +50,110 @@ def leave_one_out_means(categories: DataFrame, positions: DataFrame) -> DataFram
     Null where no other article is located. Sums are aggregated first and joined back, so a category of most
     articles is never gathered.
     """
-    each = _members(categories, positions).where("lat is not null and lon is not null").distinct()
+    return _means_without(_located(categories, positions)).drop("y", "x")
+
+
+def _located(categories: DataFrame, positions: DataFrame) -> DataFrame:
+    return _members(categories, positions).where("lat is not null and lon is not null").distinct()
+
+
+def _means_without(each: DataFrame) -> DataFrame:
+    """The means without each row of ``each``; ``y`` and ``x`` are its own position."""
     sums = each.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(_units("lat")).alias("sum_lat"), F.sum(_units("lon")).alias("sum_lon"))
     others = F.col("n") - 1
     safe = F.when(others > 0, others)
     less = lambda c: _mean(F.col(f"sum_{c}") - _units(c), safe)
-    return each.join(sums, "category").select("category", "title", less("lat").alias("lat"), less("lon").alias("lon"), others.alias("others"))
+    return each.join(sums, "category").select("category", "title", less("lat").alias("lat"), less("lon").alias("lon"), others.alias("others"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+
 
+#: Nodes in each direction, and how far a position is from the box of the means, in half its longest side, to count by interpolation: what that leaves out is some 64 ** -8 of the box.
+_NODES, _FAR = 8, 32
 
-def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+
+def leave_one_out_dispersions(categories: DataFrame, positions: DataFrame, requests: DataFrame | None = None, direct: int = 512) -> DataFrame:
     """``category, title, dispersion``: mean distance of the other located articles to their mean; with ``requests`` (category, title) only for these.
 
-    Distances do not decompose, so every article meets every other one of its category, salted for large categories; pairs
-    go straight into partial averages. The work is quadratic in a category's located articles, as the result asks.
+    Distances do not decompose. In categories of up to ``direct`` requested articles every one of them meets every other located one; pairs go straight into
+    partial averages. In larger ones the means without one article lie close together, in a box that shrinks with the number of articles, and the sum of all distances to a point of it
+    is as smooth as can be but for the positions near the box or opposite to it. So sums of distances are worked out at Chebyshev nodes of the box and interpolated, which is
+    right to the last digits of a double, and those few positions are met one by one, equal ones once. The work is in proportion to the articles.
     """
-    each = _members(categories, positions).where("lat is not null and lon is not null").distinct()
-    others = each.select("category", F.col("title").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    means = leave_one_out_means(categories, positions).where("others > 0")
+    each, _ = cut(_located(categories, positions).select("category", "title", "lat", "lon"), "located")
+    means = _means_without(each).where("others > 0")
     if requests is not None:
         means = means.join(requests.select("category", "title"), ["category", "title"], "left_semi")
-    met = salted_join(means, others, ["category"], "title", 2000).where("title <> other")
+    means, _ = cut(means, "means")
+    box = means.groupBy("category").agg(F.count(F.lit(1)).alias("c"), *[f(x).alias(f"{x}_{f.__name__}") for x in ("lat", "lon") for f in (F.min, F.max)]).where(F.col("c") > direct)
+    box, _ = cut(box.select("category", *_box("lat"), *_box("lon")), "boxes")
+    if box.isEmpty():
+        return _met(means, each)
+    return _met(means.join(box, "category", "left_anti"), each).unionByName(_interpolated(means, each, box))
+
+
+def _box(x: str) -> list[Column]:
+    """Middle and half side (never 0) of the box of the means."""
+    lo, hi = F.col(f"{x}_min"), F.col(f"{x}_max")
+    return [((lo + hi) / 2).alias(f"{x}_mid"), F.greatest((hi - lo) / 2 * 1.0001, F.lit(1e-6)).alias(f"{x}_half")]
+
+
+def _met(means: DataFrame, each: DataFrame) -> DataFrame:
+    """Every mean meets every other article of its category, salted for large categories."""
+    others = each.select("category", F.col("title").alias("other"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    met = salted_join(means.drop("y", "x"), others, ["category"], "title", 2000).where("title <> other")
     return met.groupBy("category", "title").agg(F.avg(haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))).alias("dispersion"))
 
 
+def _interpolated(means: DataFrame, each: DataFrame, box: DataFrame) -> DataFrame:
+    k = _NODES
+    at = [math.cos((2 * j + 1) * math.pi / (2 * k)) for j in range(k)]
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("lat_mid"), F.col("lon_mid"))
+    reach = haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.least(F.lit(180.0), _FAR * F.greatest("lat_half", "lon_half")))
+    half_way = math.pi * 6371.0
+    placed = each.join(box, "category").withColumn("near", (km <= reach) | (km >= half_way - reach))
+
+    nodes = F.explode(F.sequence(F.lit(0), F.lit(k * k - 1)))
+    node = lambda x, j: F.col(f"{x}_mid") + F.col(f"{x}_half") * F.element_at(F.array(*map(F.lit, at)), (j + 1).cast("int"))
+    spread = placed.where("not near").select("category", "lat", "lon", "lat_mid", "lon_mid", "lat_half", "lon_half", nodes.alias("node"))
+    to = haversine_km(F.col("lat"), F.col("lon"), node("lat", F.floor(F.col("node") / k)), node("lon", F.col("node") % k))
+    sums = spread.groupBy("category", "node").agg(F.sum(to).alias("s")).groupBy("category").agg(F.array_sort(F.collect_list(F.struct("node", "s"))).alias("sums"))
+    sums, _ = cut(sums, "sums")
+
+    # Lagrange's polynomials of the nodes, by the distances of a mean to all nodes
+    def weights(x: str) -> Column:
+        u = (F.col(x) - F.col(f"{x}_mid")) / F.col(f"{x}_half")
+        one = lambda j: math.prod(at[j] - at[i] for i in range(k) if i != j)
+        terms = []
+        for j in range(k):
+            p = F.lit(1 / one(j))
+            for i in range(k):
+                if i != j:
+                    p = p * (u - at[i])
+            terms.append(p)
+        return F.array(*terms)
+
+    pick = lambda w, j: F.element_at(F.col(w), (j + 1).cast("int"))
+    m = means.join(box, "category").join(sums, "category", "left").withColumn("wy", weights("lat")).withColumn("wx", weights("lon"))
+    whole = F.aggregate(F.coalesce("sums", F.array().cast("array<struct<node:int,s:double>>")), F.lit(0.0), lambda t, e: t + e["s"] * pick("wy", F.floor(e["node"] / k)) * pick("wx", e["node"] % k))
+    # the article itself is among the interpolated positions, unless it is near
+    away = haversine_km(F.col("y"), F.col("x"), F.col("lat_mid"), F.col("lon_mid"))
+    itself = haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon"))
+    far = m.select("category", "title", "others", (whole - F.when((away <= reach) | (away >= half_way - reach), 0.0).otherwise(itself)).alias("s"), "lat", "lon", "y", "x")
+
+    close = placed.where("near").groupBy("category", F.col("lat").alias("near_y"), F.col("lon").alias("near_x")).agg(F.count(F.lit(1)).alias("times"))
+    mine = F.when((F.col("near_y") == F.col("y")) & (F.col("near_x") == F.col("x")), 1).otherwise(0)
+    met = salted_join(far, close, ["category"], "title", 2000).where(F.col("times") > mine)
+    extra = met.groupBy("category", "title").agg(F.sum(haversine_km(F.col("near_y"), F.col("near_x"), F.col("lat"), F.col("lon")) * (F.col("times") - mine)).alias("extra"))
+    return far.join(extra, ["category", "title"], "left").select("category", "title", ((F.col("s") + F.coalesce("extra", F.lit(0.0))) / F.col("others")).alias("dispersion"))
+
+
 def requester_view(requests: DataFrame, categories: DataFrame, positions: DataFrame, compat: bool = False) -> DataFrame:
     """What a category looks like to a title: ``category, title, lat, lon, dispersion, n_located, ratio``.
 
     ``requests``: category, title. A title that is a located member sees its category without itself; others see all of it. ``ratio`` is
     located / (articles + 1), 0 if no article is left. With ``compat`` the only located member still counts itself.
     """
+    categories, _ = cut(categories.select("title", "category"), "categories")
+    positions, _ = cut(positions.select("title", "lat", "lon"), "positions")
     stats = category_stats(categories, positions)
     loo = leave_one_out_means(categories, positions).join(leave_one_out_dispersions(categories, positions, requests), ["category", "title"], "left")
     loo = loo.select("category", "title", F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"), F.col("dispersion").alias("own_disp"), "others")
