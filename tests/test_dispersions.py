@@ -1,5 +1,6 @@
 """Leave-one-out dispersions of large categories: interpolated sums against all pairs."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -25,3 +26,21 @@ def test_large_categories_against_all_pairs(spark):
         both = slow.join(fast.withColumnRenamed("dispersion", "other"), ["category", "title"], "full")
         got = both.agg(F.count("*").alias("n"), F.count("other").alias("m"), F.count("dispersion").alias("k"), F.max(F.abs(F.col("dispersion") - F.col("other"))).alias("off")).first()
         assert got.n == got.m == got.k > 2000 and got.off < 1e-9, got
+
+
+def test_requester_view_of_a_large_category(spark):
+    rng = random.Random(6)
+    spots = {f"t{k}": (rng.uniform(-60, 60), rng.uniform(-170, 170)) for k in range(600)}
+    cats = spark.createDataFrame([(t, "C") for t in spots] + [("t1", "D")], "title string, category string")
+    pos = spark.createDataFrame([(t, *p) for t, p in spots.items()], "title string, lat double, lon double")
+    view = category_stats.requester_view(cats, cats, pos)
+    assert "sums" in view._jdf.queryExecution().toString()  # not quadratic
+    got = {(r.category, r.title): r for r in view.collect()}
+    rad = math.radians
+    for t in ("t0", "t1", "t599"):
+        others = [p for k, p in spots.items() if k != t]
+        y, x = (round(sum(p[i] for p in others) / 599, 9) for i in (0, 1))
+        h = lambda p: math.sin(rad(p[0] - y) / 2) ** 2 + math.cos(rad(y)) * math.cos(rad(p[0])) * math.sin(rad(p[1] - x) / 2) ** 2
+        want = sum(2 * 6371 * math.atan2(math.sqrt(h(p)), math.sqrt(1 - h(p))) for p in others) / 599
+        assert abs(got["C", t].dispersion - want) < 1e-6 and got["C", t].n_located == 599
+    assert len(got) == 601 and got["D", "t1"].dispersion is None
