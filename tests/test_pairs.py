@@ -1,5 +1,6 @@
 """Pairs of titles with terms in common, and what may be shuffled for them."""
 
+import math
 import random
 
 import pytest
@@ -41,3 +42,17 @@ def test_pairs_in_common(spark, block):
     assert neighbors.pairs_in_common(df.limit(0), {"words": 1}).count() == 0
     with pytest.raises(ValueError):
         neighbors.pairs_in_common(df, {"words": 0})
+
+
+def test_blocks_give_only_what_can_be_among_the_best(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(80):
+        x = rng.uniform(0.2, 1.5)
+        rows += [("words", "p", k, math.cos(x), True, False), ("words", "q", k, math.sin(x), True, False)]
+    df = spark.createDataFrame(rows, "feature string, term string, id long, score double, indexed boolean, extra boolean")
+    use, enough = {"words": 1.0, "locations": 0.0, "categories": 0.0}, dict.fromkeys(neighbors.FEATURES, 1)
+    every = {(r.a, r.b): r.score for r in neighbors.blocked_pairs(df, use, 0.1, enough, False).collect()}
+    some = {(r.a, r.b): r.score for r in neighbors.blocked_pairs(df, use, 0.1, enough, False, most_neighbors=5).collect()}
+    best = lambda pairs, a: sorted((-round(s, 9), b) for (x, b), s in pairs.items() if x == a)[:5]
+    assert all(best(some, a) == best(every, a) for a in range(80)) and len(some) < len(every) / 4
