@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlaswright.functions.geo import haversine_km
+from atlaswright.operators import category_view
 from atlaswright.operators.skew import salted_join
 from atlaswright.session import cut
 
@@ -146,26 +147,84 @@ def _interpolated(means: DataFrame, each: DataFrame, box: DataFrame) -> DataFram
     return far.join(extra, ["category", "title"], "left").select("category", "title", ((F.col("s") + F.coalesce("extra", F.lit(0.0))) / F.col("others")).alias("dispersion"))
 
 
-def requester_view(requests: DataFrame, categories: DataFrame, positions: DataFrame, compat: bool = False) -> DataFrame:
+def requester_view(requests: DataFrame, categories: DataFrame, positions: DataFrame, compat: bool = False, crowded: int = category_view.MOST) -> DataFrame:
     """What a category looks like to a title: ``category, title, lat, lon, dispersion, n_located, ratio``.
 
-    ``requests``: category, title. A title that is a located member sees its category without itself; others see all of it. ``ratio`` is
+    ``requests``: category, title. ``positions`` has a title once at most. A title that is a located member sees its category without itself; others see all of it. ``ratio`` is
     located / (articles + 1), 0 if no article is left. With ``compat`` the only located member still counts itself.
+
+    Rows are shuffled to their category once. A category of more than ``crowded`` rows goes to several groups, which get its totals and the sums of distances at its nodes
+    (:func:`leave_one_out_dispersions`) along with them; any other is worked out from its own rows.
     """
-    categories, _ = cut(categories.select("title", "category"), "categories")
-    positions, _ = cut(positions.select("title", "lat", "lon"), "positions")
-    stats = category_stats(categories, positions)
-    loo = leave_one_out_means(categories, positions).join(leave_one_out_dispersions(categories, positions, requests), ["category", "title"], "left")
-    loo = loo.select("category", "title", F.col("lat").alias("own_lat"), F.col("lon").alias("own_lon"), F.col("dispersion").alias("own_disp"), "others")
-    v = requests.select("category", "title").distinct().join(stats, "category").join(loo, ["category", "title"], "left")
-    member = F.col("others").isNotNull()
-    less = F.when(member & (F.col("others") > 0) if compat else member, 1).otherwise(0)
-    located, total = F.col("n_located") - less, F.col("n_articles") - less
-    pick = lambda own, whole: F.when(member, F.col(own)).otherwise(F.col(whole))
-    return v.select(
-        "category", "title", pick("own_lat", "lat").alias("lat"), pick("own_lon", "lon").alias("lon"), pick("own_disp", "dispersion").alias("dispersion"),
-        located.alias("n_located"), F.when(total > 0, located / (total + 1)).otherwise(0.0).alias("ratio"),
-    )
+    named = categories.where("category is not null")
+    times = F.when(F.col("title").isNotNull(), 1).otherwise(0)
+    if requests is categories:
+        named = named.groupBy("title", "category").agg(F.sum(times).alias("times")).withColumn("asked", F.lit(1))
+    else:
+        asked = requests.where("category is not null").select("title", "category", F.lit(0).alias("times"), F.lit(1).alias("asked"))
+        both = named.select("title", "category", times.alias("times"), F.lit(0).alias("asked")).unionByName(asked)
+        named = both.groupBy("title", "category").agg(F.sum("times").alias("times"), F.max("asked").alias("asked"))
+    rows, _ = cut(named.join(positions.select("title", "lat", "lon"), "title", "left").select("category", "title", "lat", "lon", "times", "asked"), "rows")
+
+    data = rows.select("*", F.lit(0).alias("kind"), F.array().cast("array<double>").alias("sums"))  # nulls in an array column are slow to send to Python
+    hot = _crowded(rows, crowded)
+    if hot is None:
+        grouped = data.withColumn("key", F.xxhash64("category", F.lit(0).cast("long")))
+    else:
+        salted = data.join(hot.select("category", "salts"), "category", "left")
+        salted = salted.withColumn("key", F.xxhash64("category", F.coalesce(F.pmod(F.xxhash64("title"), F.col("salts")), F.lit(0)).cast("long"))).drop("salts")
+        grouped = salted.unionByName(_totals(rows, hot))
+    view = category_view.views(compat)
+    return grouped.repartition("key").sortWithinPartitions("key").mapInArrow(view, category_view.VIEW)
+
+
+def _crowded(rows: DataFrame, most: int) -> DataFrame | None:
+    """``category, salts``: categories of more than ``most`` rows. Hashes are counted first, and only categories in crowded hashes by name."""
+    part = F.pmod(F.xxhash64("category"), F.lit(1 << 16)).alias("part")
+    parts, _ = cut(rows.groupBy(part).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("part"), "parts")
+    if parts.isEmpty():
+        return None
+    counts = rows.select("category", part).join(parts, "part", "left_semi").groupBy("category").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most)
+    hot, _ = cut(counts.select("category", F.ceil(F.col("c") / most).cast("long").alias("salts")), "crowded")
+    return None if hot.isEmpty() else hot
+
+
+def _totals(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The totals of crowded categories, and positions near the box of their means, for each of their salts; as rows of ``requester_view``."""
+    there = "times > 0 and lat is not null and lon is not null"
+    own = rows.join(hot, "category").withColumn("located", F.expr(there))
+
+    def units(c: str) -> Column:
+        x = F.when(F.col("located"), F.col(c) * 1e12)
+        whole = x.cast("long")
+        return whole + F.when(F.abs(x - whole) >= 0.5, F.signum(x).cast("long")).otherwise(0)
+
+    million = F.lit(10**6).cast("long")
+    sums = [F.coalesce(F.sum(e), F.lit(0).cast("long")).alias(f"{c}_{n}") for c in ("lat", "lon") for n, e in (("high", F.call_function("div", units(c), million)), ("low", units(c) % million))]
+    ends = [f(F.when(F.col("located"), F.col(c))).alias(f"{c}_{f.__name__}") for c in ("lat", "lon") for f in (F.min, F.max)]
+    t = own.groupBy("category").agg(F.first("salts").alias("salts"), F.sum("times").alias("n_articles"), F.count(F.when(F.col("located"), 1)).alias("n"), *sums, *ends)
+    whole = lambda c: F.col(f"{c}_high").cast("decimal(20,0)") * million + F.col(f"{c}_low")
+    n = F.when(F.col("n") > 0, F.col("n"))
+    less = F.greatest(F.col("n") - 1, F.lit(1))
+    middle = lambda c: whole(c).cast("double") / 1e12 / less - (F.col(f"{c}_min") + F.col(f"{c}_max")) / 2 / less
+    half = lambda c: F.greatest((F.col(f"{c}_max") - F.col(f"{c}_min")) / 2 / less * 1.0001, F.lit(1e-6))
+    boxes = [middle("lat").alias("mid_y"), half("lat").alias("half_y"), middle("lon").alias("mid_x"), half("lon").alias("half_x")]
+    means = [_mean(whole(c), n).alias(f"mean_{x}") for c, x in (("lat", "y"), ("lon", "x"))]
+    parts = [e for c in ("lat", "lon") for e in (F.call_function("div", F.col(f"{c}_high"), million), F.col(f"{c}_high") % million, F.col(f"{c}_low"))]  # each exact as a double
+    totals = F.array(*[e.cast("double") for e in (F.col("n_articles"), F.col("n"), *parts)]).alias("totals")
+    t, _ = cut(t.select("category", "salts", "n", totals, *boxes, *means), "boxes")
+
+    spread = rows.where(there).select("category", "lat", "lon").join(t.drop("salts", "totals"), "category")
+    got, _ = cut(spread.mapInArrow(category_view.node_sums, category_view.SUMS), "sums")
+    added = got.groupBy("category").agg(F.array(*[F.sum(F.col("sums")[k]) for k in range(category_view.NODES**2 + 1)]).alias("sums"))
+    none = F.array_repeat(F.lit(0.0), category_view.NODES**2 + 1)
+    one = t.join(added, "category", "left")
+    one = one.select("category", "salts", F.lit(1).alias("kind"), F.concat("totals", F.array(*[F.coalesce(c, F.lit(0.0)) for c in ("mid_y", "half_y", "mid_x", "half_x")]), F.coalesce("sums", none)).alias("sums"))
+    near = got.where(F.size("near") > 0).join(t.select("category", "salts"), "category")
+    near = near.select("category", "salts", F.lit(2).alias("kind"), F.col("near").alias("sums"))
+    each = one.unionByName(near).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    empty = {"title": "string", "lat": "double", "lon": "double", "times": "bigint", "asked": "int"}
+    return each.select("category", *[F.lit(None).cast(k).alias(c) for c, k in empty.items()], "kind", "sums", F.xxhash64("category", "salt").alias("key"))
 
 
 def within_diameter(groups: DataFrame, most_km: float) -> DataFrame:

@@ -60,9 +60,11 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.clean_counts(table(spark, sf, "article_words"))
 
 
-def _cats(spark: SparkSession, sf: str) -> DataFrame:
+def _cats(spark: SparkSession, sf: str, *by: str) -> DataFrame:
+    """With ``by``, rows are shuffled by these columns."""
     c = table(spark, sf, "categories").select("title", category_reading(F.col("category")).alias("category"))
-    return c.where("title is not null and category is not null").distinct()
+    c = c.where("title is not null and category is not null")
+    return (c.repartition(*by) if by else c).distinct()
 
 
 def _positions(spark: SparkSession, sf: str) -> DataFrame:
@@ -430,7 +432,7 @@ def category_loo_dispersion(spark: SparkSession, sf: str) -> DataFrame:
     round(CASE WHEN n_articles - (l.others IS NOT NULL)::INT > 0 THEN (n_located - (l.others IS NOT NULL)::INT) / (n_articles - (l.others IS NOT NULL)::INT + 1) ELSE 0 END, 9) AS ratio
     FROM cats c JOIN stats s ON s.category = c.category LEFT JOIN loo l ON l.category = c.category AND l.title = c.title LEFT JOIN lood d ON d.category = c.category AND d.title = c.title""")
 def category_requester_view(spark: SparkSession, sf: str) -> DataFrame:
-    cats = _cats(spark, sf)
+    cats = _cats(spark, sf, "title")  # as positions are
     v = category_stats.requester_view(cats, cats, _positions(spark, sf))
     return v.select("category", "title", "lat", "lon", F.round("dispersion", 6).alias("dispersion"), "n_located", F.round("ratio", 9).alias("ratio"))
 

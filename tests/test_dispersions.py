@@ -44,3 +44,56 @@ def test_requester_view_of_a_large_category(spark):
         want = sum(2 * 6371 * math.atan2(math.sqrt(h(p)), math.sqrt(1 - h(p))) for p in others) / 599
         assert abs(got["C", t].dispersion - want) < 1e-6 and got["C", t].n_located == 599
     assert len(got) == 601 and got["D", "t1"].dispersion is None
+
+
+def _spots(rng):
+    spots = {f"g{k}": (rng.uniform(-90, 90), rng.uniform(-180, 180)) for k in range(500)} | {f"n{k}": (rng.gauss(48, 0.5), rng.gauss(11, 0.5)) for k in range(300)}
+    spots |= {f"h{k}": (48.0, 11.0) for k in range(60)} | {f"p{k}": (rng.uniform(-90, -89), rng.uniform(-180, 180)) for k in range(60)}
+    return spots | {f"o{k}": (-48.0 - k * 1e-4, -169.0) for k in range(50)}
+
+
+def _km(p, q):
+    (a, b), (c, d) = (map(math.radians, v) for v in (p, q))
+    h = min(1.0, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)
+    return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+def test_requester_view_in_several_groups(spark):
+    """Rows go to their category in one shuffle, whole or divided; both give what all pairs give."""
+    rng = random.Random(7)
+    spots = _spots(rng)
+    rows = [(t, c) for t in spots for c in ("all", t[0], f"m{int(t[1:]) % 40}")] + [(f"x{k}", c) for k in range(500) for c in ("all", "few")] + [("g1", "few"), ("g2", "few"), ("g2", "few"), (None, "few")]
+    cats = spark.createDataFrame(rows, "title string, category string")
+    pos = spark.createDataFrame([(t, *p) for t, p in spots.items()] + [("x1", None, 2.0)], "title string, lat double, lon double")
+    ask = spark.createDataFrame([("g1", "few"), ("x0", "few"), ("x3", "n"), ("x3", "all"), ("g7", "n"), (None, "o"), ("g1", "none"), *[(t, "all") for t in spots]], "title string, category string")
+    want = {}
+    for title, category in {(r.title, r.category) for r in ask.collect()} - {("g1", "none")}:
+        named = [t for t, c in rows if c == category and t is not None]
+        member = title in named and title in spots
+        placed = [spots[t] for t in sorted({t for t in named if t in spots} - ({title} if member else set()))]
+        y, x = (math.floor(sum(round(p[i] * 1e12) for p in placed) / len(placed) / 1000 + 0.5) / 1e9 for i in (0, 1))
+        want[category, title] = (y, x, sum(_km(p, (y, x)) for p in placed) / len(placed), len(placed), len(placed) / (len(named) - member + 1))
+    for crowded in (20_000, 300, 30):
+        view = category_stats.requester_view(ask, cats, pos, crowded=crowded)
+        plan = view._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key") == plan.count("Exchange hash") - plan.count("Exchange hashpartitioning(category") == 1 and "BroadcastNested" not in plan
+        got = {(r.category, r.title): r[2:] for r in view.collect()}
+        assert got.keys() == want.keys()
+        for k, w in want.items():
+            assert all(abs(a - b) < 1e-8 for a, b in zip(got[k], w)), (crowded, k, got[k], w)
+
+
+def test_requester_view_is_not_quadratic(monkeypatch):
+    import numpy as np
+
+    from atlaswright.operators import category_view as v
+
+    rng, n, met = np.random.default_rng(1), 5000, []
+    km = v._km
+    monkeypatch.setattr(v, "_km", lambda p, q: met.append((d := km(p, q)).size) or d)
+    lat, lon = rng.uniform(-60, 60, n), rng.uniform(-170, 170, n)
+    own = v._others(lat, lon, (lat.sum() - lat) / (n - 1), (lon.sum() - lon) / (n - 1), np.ones(n, bool))
+    assert sum(met) < 100 * n
+    for k in (0, 77, 4999):
+        at = ((lat.sum() - lat[k]) / (n - 1), (lon.sum() - lon[k]) / (n - 1))
+        assert abs(own[k] - sum(_km((lat[j], lon[j]), at) for j in range(n) if j != k)) / n < 1e-9
